@@ -3,10 +3,10 @@
 No piece of the vocabulary holds a space mark after another character, so a pre-token (a run of
 spaces and the characters up to the next space) is encoded alike wherever it stands, and a text's
 count is the sum over its pre-tokens.  Each task keeps a table of the distinct pre-tokens it has met
-with their counts, joins each document's pre-token frequencies to it and sums the products.  The
-table is dropped when it holds ``TABLE`` entries, which costs time and changes nothing.  The join is
-made inside the task on purpose: dealt by pre-token, the frequencies alone would be shuffled at more
-than the size of the texts.
+with their counts, joins each document's pre-token frequencies to it and sums the products.  A
+table that holds ``TABLE`` entries takes no more; the rest of a document's pre-tokens are then counted
+once for that document.  The join is made inside the task on purpose: dealt by pre-token, the
+frequencies alone would be shuffled at more than the size of the texts.
 
 Null text counts as empty and has no tokens; repeated rows are counted each; other columns are not read.
 """
@@ -46,23 +46,26 @@ class PieceCounter:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.split = space_bound([self.model.id_to_piece(i) for i in range(self.model.get_piece_size())])
         # of a lone last space; encoding the empty rest after it would count nothing
-        self.last = len(self.model.encode("a ")) - len(self.model.encode("a"))
-        self.known: dict[str, int] = {" ": self.last}
+        self.known: dict[str, int] = {"": len(self.model.encode("a ")) - len(self.model.encode("a"))}
 
     def count(self, text: str) -> int:
         if not self.split:
             return len(self.model.encode(text))
         if not text:
             return 0
-        # the library reads the mark as a space and puts one before the text
-        frequency = Counter(_pre_tokens(" " + text.replace(MARK, " ")))
-        known = self.known
+        if MARK in text:  # the library reads it as a space
+            text = text.replace(MARK, " ")
+        # the library puts a space before the text, so each pre-token starts with one
+        if text[0] == " " or "  " in text:
+            parts = [p[1:] for p in _pre_tokens(" " + text)]
+        else:
+            parts = text.split(" ")
+        frequency, known = Counter(parts), self.known
         if new := [p for p in frequency if p not in known]:
+            found = dict(zip(new, map(len, self.model.encode(new, num_threads=1)), strict=True))
             if len(known) + len(new) > TABLE:
-                known.clear()
-                known[" "] = self.last
-                new = [p for p in frequency if p != " "]
-            known.update(zip(new, map(len, self.model.encode([p[1:] for p in new], num_threads=1)), strict=True))
+                return sum([(known[p] if p in known else found[p]) * n for p, n in frequency.items()])
+            known.update(found)
         return sum([known[p] * n for p, n in frequency.items()])
 
 
