@@ -251,3 +251,18 @@ def op8_simhash(docs: DataFrame) -> DataFrame:
     """Every document's fingerprint and the smallest doc_id that links reach."""
     got = near_duplicates(docs.select("doc_id", "text"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
+    """The rows of docs, all columns, that stand first in their group: smallest doc_id, then smallest text hash.
+
+    Rows equal in both are copies of one row, of which one stays.
+    """
+    hashed = docs.withColumn("__h", F.xxhash64("text"))
+    names = ["doc_id", "__h"]
+    groups = near_duplicates(hashed.select(*names, "text"), words)
+    # groups have few columns; only the chosen keys, one for each group, go to the rows
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *names)).alias("first"))
+    first = stored(first.select("first.doc_id", "first.__h").withColumnsRenamed({"doc_id": "__id", "__h": "__key"}), "first")
+    kept = hashed.join(first, hashed["doc_id"].eqNullSafe(first["__id"]) & (hashed["__h"].eqNullSafe(first["__key"])), "left_semi")
+    return kept.dropDuplicates(names).drop("__h")
