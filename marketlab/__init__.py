@@ -1,0 +1 @@
+"""A market-data and strategy-analytics engine on Spark DataFrames."""
