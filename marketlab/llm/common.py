@@ -93,3 +93,17 @@ def split_of(doc_id: Column, modulus: int) -> Column:
 def mapped(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     importable(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+def slices(batch, column: str = "text", most: int = 4_000_000):
+    """Parts of an Arrow batch with about ``most`` bytes of text each (one row at least), for bounded memory in a task."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    if not len(sizes):
+        return
+    part = (np.cumsum(sizes, dtype=np.int64) - sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(a, b - a)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlab.llm.common import mapped, split_of, stored
+from marketlab.llm.common import mapped, slices, split_of, stored
 
 END = b""
 FLUSH = 400_000
@@ -170,13 +170,23 @@ def next_words(docs: DataFrame, sent, depth: int) -> DataFrame:
     """Columns key (context of this depth and word) and n."""
 
     def count(batches):
-        tree = _load(sent)
+        def merged():
+            keys, at = np.unique(np.concatenate([k for k, _ in got]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([m for _, m in got]), minlength=len(keys)).astype(np.int64)
+            got.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+
+        tree, got = _load(sent), []
         for batch in batches:
-            ids, _, _ = tree.encode(batch.column(0).cast(pa.binary()).to_pylist())
-            at, word = tree.ending(ids, depth)[-1][:-1], ids[1:]
-            some = (at >= 0) & (word < tree.rest)
-            keys, n = np.unique(at[some] * tree.size + word[some], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
+            for part in slices(batch):
+                ids, _, _ = tree.encode(part.column(0).cast(pa.binary()).to_pylist())
+                at, word = tree.ending(ids, depth)[-1][:-1], ids[1:]
+                some = (at >= 0) & (word < tree.rest)
+                got.append(np.unique(at[some] * tree.size + word[some], return_counts=True))
+                if sum(len(k) for k, _ in got) > 1_500_000:
+                    yield merged()
+        if got:
+            yield merged()
 
     return mapped(docs.select("text"), count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -222,7 +232,7 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
 
     def run(batches):
         tree = _load(sent)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             ids, starts, words = tree.encode(batch.column("text").cast(pa.binary()).to_pylist())
             if not len(starts):
                 continue
