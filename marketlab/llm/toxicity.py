@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlab.llm.common import mapped, split_of
+from marketlab.llm.common import mapped, slices, split_of
 
 SPAN, DECAY, KINDS = 8, 0.7, 32
 MAX_TOXIC, MAX_CLEAN = 1500, 3000
@@ -261,8 +261,7 @@ def scored(docs: DataFrame, model: Kernel) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for part in slices(batch):
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(sent.value.scores(part.column("text").to_pylist()))], [*names, "score"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
