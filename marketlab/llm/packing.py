@@ -25,7 +25,7 @@ from marketlab.llm.common import mapped, stored
 
 CAPACITY = 2048
 SALTS = 32
-KNOWN = 1_000_000
+KNOWN = 600_000
 #: Enumeration: partners tried for each first length, and the most tokens a pattern may leave empty.
 PARTNERS, SLACK = 12, 24
 
