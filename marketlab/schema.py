@@ -2,11 +2,19 @@
 
 from pyspark.sql import types as T
 
-BAR = T.StructType.fromDDL(
+_KINDS = {"string": T.StringType(), "timestamp": T.TimestampType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "array<string>": T.ArrayType(T.StringType())}
+
+
+def _struct(ddl: str) -> T.StructType:
+    """A schema from its text, without a session."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
+
+
+BAR = _struct(
     "instrument_id string, source string, timeframe string, ts_utc timestamp, open double, high double, low double, close double, volume double, is_partial boolean, quality string, adj_close double"
 )
-COVERAGE = T.StructType.fromDDL("instrument_id string, timeframe string, source string, start_utc timestamp, end_utc timestamp")
-INSTRUMENT = T.StructType.fromDDL(
+COVERAGE = _struct("instrument_id string, timeframe string, source string, start_utc timestamp, end_utc timestamp")
+INSTRUMENT = _struct(
     "instrument_id string, asset_class string, venue string, symbol string, session_tz string, aliases array<string>, alternatives array<string>, pair_created_at timestamp, base_token string, quote_token string"
 )
 #: Stored timeframes, finest first, with their minutes.
