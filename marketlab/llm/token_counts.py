@@ -6,7 +6,7 @@ count is the sum over its pre-tokens.  Each task keeps a table of the distinct p
 with their counts, joins each document's pre-token frequencies to it and sums the products.  A
 table that holds ``TABLE`` entries takes no more; the rest of a document's pre-tokens are then counted
 once for that document.  The join is made inside the task on purpose: dealt by pre-token, the
-frequencies alone would be shuffled at more than the size of the texts.
+frequencies alone would, by estimate, be shuffled at more than the size of the input files.
 
 Null text counts as empty and has no tokens; repeated rows are counted each; other columns are not read.
 """
