@@ -67,3 +67,66 @@ def xirr(flows: list[tuple[float, float]]) -> float | None:
         mid = (low + high) / 2
         low, high = (mid, high) if value(low) * value(mid) > 0 else (low, mid)
     return (low + high) / 2
+
+
+def excess(curve: DataFrame) -> DataFrame:
+    """One row: Sharpe and Sortino of returns above the cash rate (daily_tbill), the risk of Sharpe that of raw returns, and the best and worst UTC year."""
+    span = (F.max(F.unix_micros("ts_utc")) - F.min(F.unix_micros("ts_utc"))) / 86_400_000_000
+    over = F.col("r") - (F.coalesce("daily_tbill", F.lit(0.0)) if "daily_tbill" in curve.columns else F.lit(0.0))
+    out = curve.agg(F.count("*").alias("n"), span.alias("days"), F.avg(over).alias("mean"), F.stddev_samp("r").alias("sd"), F.sqrt(F.avg(F.pow(F.least(over, F.lit(0.0)), F.lit(2)))).alias("down"))
+    scale = F.sqrt(F.col("n") / (F.when(F.col("days") > 0, F.col("days")).otherwise(1.0) / 365.25))
+    out = out.select((safe_div(F.col("mean"), F.col("sd")) * scale).alias("sharpe_excess"), (safe_div(F.col("mean"), F.col("down")) * scale).alias("sortino_excess"))
+    years = calendar_years(curve).agg(F.max(F.struct("ret", -F.col("year"))).alias("b"), F.min(F.struct("ret", "year")).alias("w"))
+    years = years.select((-F.col("b.col2")).alias("best_year"), F.col("b.ret").alias("best_year_return"), F.col("w.year").alias("worst_year"), F.col("w.ret").alias("worst_year_return"))
+    return out.join(years, F.lit(True))
+
+
+def aligned(curves: DataFrame, ready: dict[str, int]) -> DataFrame:
+    """Curves of several runs (run_id) without the first stamps, as many as the slowest run needs to be ready; an error if none is left."""
+    most = max(ready.values(), default=0)
+    w = Window.partitionBy("run_id").orderBy("ts_utc")
+    out = curves.withColumn("__k", F.row_number().over(w)).where(F.col("__k") > most).drop("__k")
+    if out.isEmpty():
+        raise ValueError(f"no stamps are left after {most} to get ready")
+    return out
+
+
+def run_returns(curves: DataFrame, baseline: str) -> DataFrame:
+    """Total return of each run and its excess over the baseline run's."""
+    each = curves.groupBy("run_id").agg((F.max_by("equity", "ts_utc") / F.min_by("equity", "ts_utc") - 1).alias("total_return"))
+    base = each.where(F.col("run_id") == baseline).select(F.col("total_return").alias("__b"))
+    return each.join(base, F.lit(True), "left").withColumn("excess", F.col("total_return") - F.col("__b")).drop("__b")
+
+
+def month_ends(curve: DataFrame) -> DataFrame:
+    """The last equity of each UTC month, from a start of 100."""
+    return curve.groupBy(F.date_trunc("month", "ts_utc").alias("month")).agg(F.max("ts_utc").alias("ts_utc"), (F.max_by("equity", "ts_utc") * 100).alias("growth"))
+
+
+def month_end_allocation(targets: DataFrame) -> DataFrame:
+    """Weights in force at each month's end: a name's last known target; cash is what positive weights leave."""
+    stamps = targets.groupBy(F.date_trunc("month", "ts_utc").alias("month")).agg(F.max("ts_utc").alias("ts_utc"))
+    known = targets.where("weight is not null").select("instrument_id", F.date_trunc("month", "ts_utc").alias("month"), "ts_utc", "weight")
+    known = known.groupBy("instrument_id", "month").agg(F.max_by("weight", "ts_utc").alias("weight"))
+    grid = stamps.withColumn("__one", F.lit(1)).join(targets.select("instrument_id").distinct().withColumn("__one", F.lit(1)), "__one").drop("__one")
+    w = Window.partitionBy("instrument_id").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    rows = grid.join(known, ["instrument_id", "month"], "left").withColumn("weight", F.coalesce(F.last("weight", ignorenulls=True).over(w), F.lit(0.0)))
+    cash = F.lit(1.0) - F.sum(F.greatest("weight", F.lit(0.0))).over(Window.partitionBy("month"))
+    return rows.withColumn("cash", cash).select("ts_utc", "instrument_id", "weight", "cash")
+
+
+def sip_rate(plan: DataFrame) -> DataFrame:
+    """One row: the yearly rate of a plan (ts_utc, contribution, wealth).  Only its contributions and last wealth, a row a month, go to one task."""
+    import pandas as pd
+
+    from marketlab.workers import importable
+
+    importable(plan.sparkSession)
+    last = plan.agg(F.max("ts_utc").alias("ts_utc"), F.max_by("wealth", "ts_utc").alias("amount"))
+    flows = plan.where("contribution <> 0").select("ts_utc", (-F.col("contribution")).alias("amount")).unionByName(last)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        days = (pdf["ts_utc"] - pdf["ts_utc"].min()).dt.total_seconds() / 86_400
+        return pd.DataFrame({"xirr": [xirr(list(zip(days, pdf["amount"], strict=True)))]})
+
+    return flows.groupBy().applyInPandas(run, "xirr double")

@@ -89,3 +89,57 @@ def year_winner(panel: DataFrame, n: int, min_prints: int, zone: str = "Asia/Kol
     some = won.select("ts_utc").distinct().withColumn("__any", F.lit(True))
     grid = panel.select("instrument_id", "ts_utc").join(F.broadcast(some), "ts_utc", "left").join(won, ["instrument_id", "ts_utc"], "left")
     return grid.withColumn("weight", F.when(F.col("__any"), F.coalesce("weight", F.lit(0.0)))).select(*OUT)
+
+
+def trailing_winners(panel: DataFrame, n: int, min_prints: int, sleeves: DataFrame | None = None, zone: str = "Asia/Kolkata") -> DataFrame:
+    """(ts_utc, sleeve, instrument_id) of the n best names at each quarter end, by return since the same quarter's end a year before.
+
+    Both ends need a price (the first above 0) and ``min_prints`` prints from one to the other, both included.
+    ``sleeves`` (sleeve, instrument_id, n) ranks each sleeve by itself with its own n.
+    """
+    from marketlab.operators.calendar import period_ends
+
+    prints = panel.where("close is not null").select("instrument_id", "ts_utc", "close", F.row_number().over(by_time()).alias("__n"))
+    ends = period_ends(panel, "quarter", zone)
+    spans = ends.join(ends.select(F.col("ts_utc").alias("__from"), F.add_months("period", 12).alias("period")), "period").select("ts_utc", "__from")
+    start = prints.select("instrument_id", F.col("ts_utc").alias("__from"), F.col("close").alias("__a"), F.col("__n").alias("__na"))
+    rows = prints.join(spans, "ts_utc").join(start, ["instrument_id", "__from"]).where((F.col("__a") > 0) & (F.col("__n") - F.col("__na") + 1 >= min_prints))
+    rows = rows.withColumn("ret", F.col("close") / F.col("__a") - 1)
+    rows = rows.withColumn("sleeve", F.lit("all")).withColumn("__most", F.lit(n)) if sleeves is None else rows.join(sleeves.withColumnRenamed("n", "__most"), "instrument_id")
+    rank = F.row_number().over(Window.partitionBy("ts_utc", "sleeve").orderBy(F.col("ret").desc(), "instrument_id"))
+    return rows.withColumn("__k", rank).where(F.col("__k") <= F.col("__most")).select("ts_utc", "sleeve", "instrument_id")
+
+
+def winner_weights(panel: DataFrame, winners: DataFrame) -> DataFrame:
+    """Equal shares of all places at a reset, 0 for the other names, null between; a name in two sleeves counts twice in the divisor and is held once."""
+    places = winners.withColumn("weight", F.lit(1.0) / F.count("*").over(Window.partitionBy("ts_utc")))
+    book = places.groupBy("ts_utc", "instrument_id").agg(F.first("weight").alias("weight"))
+    resets = book.select("ts_utc").distinct().withColumn("__any", F.lit(True))
+    rows = panel.select("instrument_id", "ts_utc").join(resets, "ts_utc", "left").join(book, ["instrument_id", "ts_utc"], "left")
+    return rows.withColumn("weight", F.when(F.col("__any"), F.coalesce("weight", F.lit(0.0)))).select(*OUT)
+
+
+def quarter_winner(panel: DataFrame, n: int, min_prints: int) -> DataFrame:
+    return winner_weights(panel, trailing_winners(panel, n, min_prints))
+
+
+def cap_mix(panel: DataFrame, sleeves: DataFrame, min_prints: int) -> DataFrame:
+    return winner_weights(panel, trailing_winners(panel, 0, min_prints, sleeves))
+
+
+def with_stop(panel: DataFrame, targets: DataFrame, bars: int) -> DataFrame:
+    """Targets with an exit: between resets the first close of a held name under its mean of ``bars`` closes emits 0, once.
+
+    The book of a reset is carried to each name's rows by a window, so the first breach is a minimum over (name, reset).
+    """
+    resets = targets.where("weight is not null").select("ts_utc").distinct().withColumn("__reset", F.col("ts_utc"))
+    rows = panel.withColumn("__mean", mean("close", bars)).select("instrument_id", "ts_utc", "close", "__mean").join(targets, ["instrument_id", "ts_utc"], "left")
+    stamps = Window.partitionBy(F.lit(0)).orderBy("ts_utc").rowsBetween(Window.unboundedPreceding, 0)
+    clock = panel.select("ts_utc").distinct().join(resets, "ts_utc", "left").withColumn("__reset", F.last("__reset", ignorenulls=True).over(stamps))
+    rows = rows.join(clock, "ts_utc")
+    # a name without a row at the reset is held all the same where it won, so winners are joined by reset
+    held = targets.where("weight > 0").select("instrument_id", F.col("ts_utc").alias("__reset"), F.lit(True).alias("__held"))
+    rows = rows.join(held, ["instrument_id", "__reset"], "left")
+    breach = F.col("__held") & (F.col("ts_utc") > F.col("__reset")) & (F.col("close") < F.col("__mean"))
+    first = F.min(F.when(breach, F.col("ts_utc"))).over(Window.partitionBy("instrument_id", "__reset"))
+    return rows.withColumn("weight", F.when(F.col("ts_utc") == first, 0.0).otherwise(F.col("weight"))).select(*OUT)

@@ -1 +1,3 @@
-"""Compositions: queries, panels and strategy runs."""
+"""Named queries; both modules register theirs in ``queries.QUERIES``."""
+
+from marketlab.plans import queries, panel_queries  # noqa: F401, I001
