@@ -271,7 +271,7 @@ query("prism_prepare")(lambda s, d: trend.prepared(px_daily(s, d)).select("instr
 query("prism_vol")(lambda s, d: trend.with_yearly_vol(trend.prepared(px_daily(s, d))).select("instrument_id", "ts_utc", "vol_ann"))
 query(
     "prism_tsmom",
-    f"""WITH b AS ({PX_DAILY_SQL}), dd AS (SELECT DISTINCT ts_utc FROM b), lk AS (SELECT dd.ts_utc, m.m, max(e.ts_utc) AS f FROM dd, (VALUES (1), (3)) m(m), dd e WHERE e.ts_utc <= dd.ts_utc - to_months(m.m) GROUP BY 1, 2),
+    f"""WITH b AS ({PX_DAILY_SQL}), dd AS (SELECT DISTINCT ts_utc, ((ts_utc AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York')::DATE AS y FROM b), lk AS (SELECT dd.ts_utc, m.m, max(e.ts_utc) AS f FROM dd, (VALUES (1), (3)) m(m), dd e WHERE e.y <= dd.y - to_months(m.m) GROUP BY 1, 2),
 sc AS (SELECT b.instrument_id, b.ts_utc, greatest(-1, least(1, (b.close / x.close - 1) / (0.5 * sqrt(date_diff('day', lk.f, b.ts_utc) / 365.25)) / 2)) AS z FROM b JOIN lk USING (ts_utc) JOIN b x ON x.instrument_id = b.instrument_id AND x.ts_utc = lk.f),
 rw AS (SELECT instrument_id, ts_utc, avg(z) AS raw FROM sc GROUP BY 1, 2 HAVING count(*) = 2) SELECT {KEYS}, round(raw, 6) AS raw FROM b LEFT JOIN rw USING (instrument_id, ts_utc)""",
 )(lambda s, d: trend.momentum(px_daily(s, d).withColumn("px", F.col("close")).withColumn("vol_ann", F.lit(0.5)), (1, 3)).select("instrument_id", "ts_utc", "raw"))
@@ -300,3 +300,14 @@ query(
     f"""WITH b AS ({PX_DAILY_SQL}), x AS (SELECT {KEYS}, close / {lag('close')} - 1 AS ret FROM b) SELECT p.instrument_id AS a, q.instrument_id AS b, round(CASE WHEN count(*) >= 20 THEN corr(p.ret, q.ret) ELSE 0 END, 6) AS rho
 FROM x p JOIN x q ON p.ts_utc = q.ts_utc AND p.instrument_id < q.instrument_id WHERE p.ret IS NOT NULL AND q.ret IS NOT NULL GROUP BY 1, 2""",
 )(lambda s, d: trend.correlations(px_daily(s, d).withColumn("ret", F.expr("close / lag(close) OVER (PARTITION BY instrument_id ORDER BY ts_utc) - 1"))))
+
+
+def _grid_panel(s: SparkSession, d: str) -> DataFrame:
+    """Every name at every stamp, with null prices where it did not print, and enough volume to be live."""
+    b = px_daily(s, d).withColumn("volume", F.col("volume") * 1000)
+    stamps = b.select("ts_utc").distinct().withColumn("__one", F.lit(1)).join(b.select("instrument_id").distinct().withColumn("__one", F.lit(1)), "__one").drop("__one")
+    return stamps.join(b, ["instrument_id", "ts_utc"], "left")
+
+
+query("prism_live")(lambda s, d: trend.signals(_grid_panel(s, d)).select("instrument_id", "ts_utc", "trend", "live", "ramp", "liq_cap"))
+query("prism_allocate")(lambda s, d: trend.clustered_trend(_grid_panel(s, d)).select("instrument_id", "ts_utc", "weight"))
