@@ -85,3 +85,28 @@ def period_ends(stamps: DataFrame, unit: str, zone: str = "America/New_York") ->
     w = Window.partitionBy(F.lit(0)).orderBy("ts_utc")
     rows = stamps.select("ts_utc").distinct().withColumn("period", F.to_date(F.date_trunc(unit, F.from_utc_timestamp("ts_utc", zone))))
     return rows.withColumn("__n", F.lead("period").over(w)).where("__n <> period").select("ts_utc", "period")
+
+
+def session_windows(names: DataFrame, days: DataFrame, start, end, timeframe: str, extended: bool = False) -> DataFrame:
+    """Half-open UTC ranges from start up to end in which each name (instrument_id, asset_class, venue) should have bars.
+
+    Crypto, pool and currency names: the whole range.  Others: their exchange's sessions in ``days`` (exchange, session_date,
+    open_utc, close_utc), clipped; Indian names use XNSE, the rest XNYS.  A daily bar stands for the day from its open and is
+    kept where the open lies in the range.  Extended New York sessions open at 04:00 and close with the regular session, as late as 20:00.
+    """
+    a, b = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+    always = F.col("asset_class").isin("crypto", "dex") | (F.upper("venue") == "CCY")
+    whole = names.where(always).select("instrument_id", a.alias("start_utc"), b.alias("end_utc"))
+    listed = names.where(~always).withColumn("exchange", F.when(F.upper("venue") == "XNSE", "XNSE").otherwise("XNYS")).join(days, "exchange")
+    if extended:
+
+        def clock(at: str):
+            return F.to_utc_timestamp(F.to_timestamp(F.concat(F.date_format("session_date", "yyyy-MM-dd"), F.lit(f" {at}:00"))), "America/New_York")
+
+        here = F.col("exchange") == "XNYS"
+        listed = listed.withColumn("open_utc", F.when(here, clock("04:00")).otherwise(F.col("open_utc"))).withColumn("close_utc", F.when(here, F.least(clock("20:00"), "close_utc")).otherwise(F.col("close_utc")))
+    if timeframe == "1d":
+        listed = listed.where((F.col("open_utc") >= a) & (F.col("open_utc") < b)).select("instrument_id", F.col("open_utc").alias("start_utc"), (F.col("open_utc") + F.expr("INTERVAL 1 DAY")).alias("end_utc"))
+    else:
+        listed = listed.select("instrument_id", F.greatest("open_utc", a).alias("start_utc"), F.least("close_utc", b).alias("end_utc"))
+    return whole.unionByName(listed).where("start_utc < end_utc")

@@ -7,7 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketlab.operators import broker, calendar, catalog, intervals, joins, metrics, panel, store, strategies, trend
+from marketlab.operators import broker, calendar, catalog, intervals, joins, metrics, normalize, panel, store, strategies, trend
 from marketlab.plans.queries import _BOOK, _COVER, _HOL, _MERGED, _book, _cover, DAY, HOUR, KEYS, W, lag, over, query, r6
 from marketlab.sources import vendors
 from marketlab.sources.series import PX_DAILY_SQL, PX_SMOOTH_SQL, bars, px_daily, px_smooth
@@ -311,3 +311,26 @@ def _grid_panel(s: SparkSession, d: str) -> DataFrame:
 
 query("prism_live")(lambda s, d: trend.signals(_grid_panel(s, d)).select("instrument_id", "ts_utc", "trend", "live", "ramp", "liq_cap"))
 query("prism_allocate")(lambda s, d: trend.clustered_trend(_grid_panel(s, d)).select("instrument_id", "ts_utc", "weight"))
+
+
+def _windows(s: SparkSession, d: str) -> DataFrame:
+    names = bars(s, d, "day").select("instrument_id").distinct().selectExpr("instrument_id", "if(instrument_id = 'click', 'crypto', 'equity') AS asset_class", "if(instrument_id = 'view', 'XNSE', 'XNAS') AS venue")
+    days = calendar.sessions(s, date(2024, 1, 1), date(2024, 1, 31))
+    grids = [g(days).select("session_date", "open_utc", F.col("decision_ts").alias("close_utc"), F.lit(x).alias("exchange")) for g, x in ((calendar.nyse_grid, "XNYS"), (calendar.nse_grid, "XNSE"))]
+    return calendar.session_windows(names, grids[0].unionByName(grids[1]), datetime(2024, 1, 8, 15), datetime(2024, 1, 20), "1h")
+
+
+query(
+    "session_windows",
+    f"""WITH n AS (SELECT DISTINCT event_type AS instrument_id FROM events), {_GRID}, x AS (SELECT instrument_id, CASE WHEN instrument_id = 'view' THEN session_date + INTERVAL '3 hours 45 minutes' ELSE o END AS o, CASE WHEN instrument_id = 'view' THEN session_date + INTERVAL 10 HOUR ELSE c END AS c FROM n, grid WHERE instrument_id <> 'click')
+SELECT instrument_id, greatest(o, TIMESTAMP '2024-01-08 15:00') AS start_utc, least(c, TIMESTAMP '2024-01-20') AS end_utc FROM x WHERE o < TIMESTAMP '2024-01-20' AND c > TIMESTAMP '2024-01-08 15:00'
+UNION ALL SELECT 'click', TIMESTAMP '2024-01-08 15:00', TIMESTAMP '2024-01-20'""",
+)(lambda s, d: _windows(s, d))
+
+
+@query("normalize_bars", f"WITH b AS ({PX_SMOOTH_SQL}) SELECT {KEYS}, round(close, 6) AS close, round(close, 6) AS adj_close FROM b WHERE ts_utc <= TIMESTAMP '2024-01-21' AND open IS NOT NULL AND close IS NOT NULL")
+def _(s: SparkSession, d: str) -> DataFrame:
+    rows = px_smooth(s, d).select("instrument_id", "ts_utc", "open", F.greatest("open", "close").alias("high"), F.least("open", "close").alias("low"), "close", F.lit(1.0).alias("volume"))
+    rows = rows.withColumn("adj_close", F.lit(None).cast("double")).withColumn("timeframe", F.lit("1d"))
+    pages = rows.withColumn("close", F.col("low")).withColumn("page_seq", F.lit(1)).unionByName(rows.withColumn("page_seq", F.lit(2)))
+    return normalize.normalize(pages, "1d", "2024-01-20").select("instrument_id", "ts_utc", "close", "adj_close")
