@@ -1,7 +1,7 @@
 """Toxicity: a subsequence string-kernel SVM with Nyström landmarks.
 
 Units are a text's words (white space apart), letters only after folding: case and accents go, digits and
-signs that stand for letters become them, other signs go, and a run of at least four single
+signs that stand for letters become them, other signs go, a letter repeated more than twice stands twice, and a run of at least four single
 letters is one unit too, so "i d i o t", "i.d.i.o.t", "1d1ot" and "idxiot" reach the kernel.  The kernel is the
 gap-weighted subsequence kernel of order 3: each triple of letters and end marks in order within ``SPAN`` weighs
 ``DECAY`` to the power of its span, and a unit's triples are scaled by the norm that its length gives.
@@ -9,8 +9,9 @@ gap-weighted subsequence kernel of order 3: each triple of letters and end marks
 Landmarks are units of labelled sentences: those most tied to toxic ones, not too alike, and the commonest
 of clean ones.  Nyström features (the kernel to the landmarks times the inverse root of the landmarks'
 own kernel) go to a squared-hinge SVM.  Its positive examples are one witness unit for each toxic
-sentence, chosen again in each round, and repeated witnesses with a foreign letter put in; its negative ones the units of clean
-sentences, the hardest of all of them added in each round.  Because the SVM is linear in the kernel, its decision folds into one weight for
+sentence, chosen again in each round by its decision and its tie to toxic sentences together, so that no round drifts to units that
+clean sentences have too, and repeated witnesses with a foreign letter put in; its negative ones the units of clean
+sentences, the hardest of all of them added in each round.  The round with the least logistic loss on the training rows is kept.  Because the SVM is linear in the kernel, its decision folds into one weight for
 each triple, so every unit of every text is scored at once.  A text's score is the logistic, fitted
 on the labelled rows, of its highest unit's decision.
 
@@ -36,13 +37,16 @@ from marketlab.llm.common import mapped, slices, split_of
 
 SPAN, DECAY, KINDS = 8, 0.7, 32
 MAX_TOXIC, MAX_CLEAN = 1500, 3000
-LANDMARKS, ROUNDS = 96, 4
+LANDMARKS, ROUNDS = 320, 4
+#: Costs of a witness (times the root of its texts), of a witness with a foreign letter and of a clean unit; the tie from which a unit seen in clean texts may be a witness.
+WITNESS, INSERTED, CLEAN, STRONG = 20.0, 24.0, 4.0, 4.0
 THRESHOLD = 0.3
 START, STOP = "\x02", "\x03"
 #: Signs read as letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 
 _spaced = re.compile(r"(?<!\S)\w(?:[ \t]\w){3,}(?!\S)")
+_run = re.compile(r"(.)\1{2,}")
 _sentence = re.compile(r"(?<=[.!?])\s+|\n")
 
 
@@ -68,8 +72,8 @@ def words_of(text: str) -> list[str]:
 
 
 def unit(word: str) -> str:
-    """A word's letters between marks for its ends; final ! and similar are signs, not letters."""
-    letters = word.lower().strip("!$.,;:?").translate(FOLD)
+    """A word's letters between marks for its ends; final ! and similar are signs, not letters; a letter stands at most twice in a row."""
+    letters = _run.sub(r"\1\1", word.lower().strip("!$.,;:?").translate(FOLD))
     return f"{START}{letters}{STOP}" if len(letters) > 1 else ""
 
 
@@ -121,7 +125,7 @@ def features(units: list[str], columns: np.ndarray) -> np.ndarray:
 
 def own_triples(units: list[str]) -> np.ndarray:
     """(KINDS ** 3, units): each unit's weight of each triple."""
-    out = np.zeros((KINDS**3, len(units)))
+    out = np.zeros((KINDS**3, len(units)), np.float32)
     for index, numbers, weight in each_length(units):
         for t in range(numbers.shape[1]):
             np.add.at(out, (numbers[:, t], index), weight[t])
@@ -142,8 +146,8 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int =
     reg[-1, -1] = 1e-6
     active = np.ones(len(y), bool)
     for _ in range(rounds):
-        a = z[active] * cost[active, None]
-        w = np.linalg.solve(reg + a.T @ z[active], a.T @ y[active])
+        part = z[active]
+        w = np.linalg.solve(reg + (part.T * cost[active]) @ part, part.T @ (cost[active] * y[active]))
         now = y * (z @ w) < 1
         if (now == active).all():
             break
@@ -190,13 +194,14 @@ def train(texts: list[str], y: np.ndarray, share: float) -> Kernel:
     """A classifier from whole labelled texts; share: that of class 1 among all labelled rows."""
     if not len(y) or y.min() == y.max():
         return Kernel(share)
-    sentences = [(u, int(v)) for t, v in zip(texts, y, strict=True) for u in [sorted({unit(w) for s in _sentence.split(t or "") for w in words_of(s)} - {""})]]
+    shared: dict[str, str] = {"": ""}  # one object for each distinct unit, whatever the number of texts
+    sentences = [(u, int(v)) for t, v in zip(texts, y, strict=True) for u in [sorted({shared.setdefault(x, x) for s in _sentence.split(t or "") for x in map(unit, words_of(s))} - {""})]]
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for units, v in sentences:
         seen[v].update(units)
     n = [int((y == v).sum()) for v in (0, 1)]
     tie = {u: np.log((c + 0.1) / (n[1] + 1)) - np.log((seen[0][u] + 0.5) / (n[0] + 1)) + 0.3 * np.log(c) for u, c in seen[1].items() if len(u) >= 5}
-    toxic = sorted(tie, key=lambda u: (-tie[u], u))[: 4 * LANDMARKS]
+    toxic = sorted(tie, key=lambda u: (-tie[u], u))[: 3 * LANDMARKS]
     marks: list[str] = []
     own = own_triples(toxic) if toxic else np.zeros((KINDS**3, 0))
     alike = own.T @ own
@@ -205,42 +210,48 @@ def train(texts: list[str], y: np.ndarray, share: float) -> Kernel:
         if len(chosen) < 2 * LANDMARKS // 3 and all(alike[i, j] < 0.9 for j in chosen):
             chosen.append(i)
     marks += [toxic[i] for i in chosen]
+    del own, alike
     common = sorted((u for u in seen[0] if len(u) >= 4 and u not in marks), key=lambda u: (-seen[0][u], u))
     marks += common[: LANDMARKS - len(marks)]
     if not marks:
         return Kernel(share)
     columns = own_triples(marks)
-    values, vectors = np.linalg.eigh(columns.T @ columns + 1e-3 * np.eye(len(marks)))
+    values, vectors = np.linalg.eigh((columns.T @ columns).astype(float) + 1e-3 * np.eye(len(marks)))
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
     rule = np.random.default_rng(0)
     clean = sorted(seen[0])
     chosen_clean = set(rule.permutation(len(clean))[:8000].tolist())
     toxic_texts = [units for units, v in sentences if v]
     score_of = tie
-    folded, bias = np.zeros(KINDS**3), 0.0
+    labels = np.array([v for _, v in sentences])
+    balance = np.where(labels == 1, share / max(labels.mean(), 1e-9), (1 - share) / max(1 - labels.mean(), 1e-9))
+    best: tuple[float, Kernel] | None = None
     for r in range(ROUNDS):
         witness = [max(units, key=lambda u: (score_of.get(u, -99.0), u)) for units in toxic_texts if units]
         weight = Counter(witness)
-        pos = sorted(u for u in weight if not seen[0][u] or r)
+        pos = sorted(u for u in weight if not seen[0][u] or tie.get(u, 0.0) > STRONG)
         spread = {v for u in pos if weight[u] > 1 for v in with_insertions(u, rule)} - set(pos) - set(seen[0])
         neg = [clean[i] for i in sorted(chosen_clean) if clean[i] not in weight or seen[0][clean[i]] > 2 * weight[clean[i]]]
         if not pos or not neg:
-            return Kernel(share)
+            break
         more = sorted(spread)
         x = features([*pos, *more, *neg], columns) @ root
-        cost = np.concatenate([[20.0 * np.sqrt(max(weight[u], seen[1][u])) for u in pos], np.full(len(more), 12.0), np.full(len(neg), 2.0)])
+        cost = np.concatenate([[WITNESS * np.sqrt(max(weight[u], seen[1][u])) for u in pos], np.full(len(more), INSERTED), np.full(len(neg), CLEAN)])
         w = squared_hinge(x, np.concatenate([np.ones(len(pos) + len(more)), -np.ones(len(neg))]), cost)
         folded, bias = columns @ (root @ w[:-1]), float(w[-1])
         got = decisions(clean, folded, bias)
         chosen_clean |= set(np.argsort(-got)[:2000].tolist())
         every = sorted({u for units in toxic_texts for u in units})
-        score_of = dict(zip(every, decisions(every, folded, bias).tolist(), strict=True))
-    made = Kernel(share, folded, bias)
-    known = dict(zip(clean, decisions(clean, folded, bias).tolist(), strict=True)) | score_of
-    top = np.array([max((known[u] for u in units), default=bias) for units, _ in sentences])
-    labels = np.array([v for _, v in sentences])
-    made.slope, made.intercept = logistic(top, labels, np.where(labels == 1, share / max(labels.mean(), 1e-9), (1 - share) / max(1 - labels.mean(), 1e-9)))
-    return made
+        toxic_of = dict(zip(every, decisions(every, folded, bias).tolist(), strict=True))
+        score_of = {u: tie[u] + min(v, 2.0) for u, v in toxic_of.items() if u in tie}
+        known = dict(zip(clean, got.tolist(), strict=True)) | toxic_of
+        top = np.array([max((known[u] for u in units), default=bias) for units, _ in sentences])
+        slope, intercept = logistic(top, labels, balance)
+        p = np.clip(1 / (1 + np.exp(-np.clip(slope * top + intercept, -30, 30))), 1e-9, 1 - 1e-9)
+        loss = float(-(balance * np.where(labels == 1, np.log(p), np.log(1 - p))).sum())
+        if best is None or loss < best[0]:
+            best = loss, Kernel(share, folded, bias, slope, intercept)
+    return best[1] if best else Kernel(share)
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Kernel:

@@ -1,5 +1,6 @@
 """The operators against brute force, round trips and edge cases."""
 
+import os
 import random
 import struct
 import zlib
@@ -7,6 +8,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from marketlab.llm import chat, decontaminate, line_dedup, media, packing, quality, simhash, suffix_tree, token_counts, toxicity
 from pyspark.sql import functions as F
@@ -316,6 +318,18 @@ def test_insults_with_gaps():
     assert (scores[5:] < toxicity.THRESHOLD).all()
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_op6_held_out_where_clean_texts_hold_the_same_stems():
+    """Witnesses chosen by decision alone drift here to stems of clean words, and nothing is found."""
+    docs, labels = (pd.read_parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    rows = docs[["doc_id", "text"]].merge(labels[labels.toxic.notna()], on="doc_id")
+    held, y = rows.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2).to_numpy(), rows.toxic.to_numpy(int)
+    fitted = np.sort(np.concatenate([np.flatnonzero(~held & (y == v))[:most] for v, most in ((1, toxicity.MAX_TOXIC), (0, toxicity.MAX_CLEAN))]))
+    made = toxicity.train(rows.text.iloc[fitted].tolist(), y[fitted], y[~held].mean())
+    found = made.scores(rows.text[held].tolist()) >= toxicity.THRESHOLD
+    assert found[y[held] == 1].mean() >= 0.85 and found[y[held] == 0].mean() <= 0.04
+
+
 def test_discriminant_is_the_gaussian_density():
     rule = np.random.default_rng(0)
     d = len(quality.NAMES)
