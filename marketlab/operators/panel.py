@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlab.operators import calendar, joins
@@ -16,8 +16,8 @@ def with_metadata(panel: DataFrame, universe: DataFrame) -> DataFrame:
     return panel.join(universe, "instrument_id", "left")
 
 
-def sample_daily(daily: DataFrame, grid: DataFrame, zone: str = "America/New_York") -> DataFrame:
-    """Each instrument's daily bar at each session's decision time, by the venue's local date; a session without one has null prices.
+def sample_daily(daily: DataFrame, grid: DataFrame, zone: str | Column = "America/New_York") -> DataFrame:
+    """Each instrument's daily bar at each session's decision time, by the venue's local date (a zone or a column of zones); a session without one has null prices.
 
     The grid is dealt to instruments by day: every (instrument, session) is a row of the result.
     """
@@ -68,3 +68,17 @@ def native_panel(bars: DataFrame, universe: DataFrame, names: int, holidays: Dat
     rows = calendar.session_flags(rows, holidays)
     rows = with_cash(rows, yields) if yields is not None else rows.withColumn("daily_tbill", F.lit(0.0))
     return total_return(rows) if scale else rows
+
+
+def session_panel(daily: DataFrame, universe: DataFrame, grid: DataFrame, quotes: DataFrame | None = None, base: str = "USD", yields: DataFrame | None = None, scale: bool = False) -> DataFrame:
+    """Daily bars at the decision times of a grid, by each venue's own date (calendar NSE: India's), with the steps of ``native_panel``.
+
+    A name without a bar keeps a row with null prices; decision times at which no name has a close go.  Every row is a session.
+    """
+    zones = universe.select("instrument_id", F.when(F.col("calendar") == "NSE", "Asia/Kolkata").otherwise("America/New_York").alias("__zone"))
+    rows = sample_daily(with_adj_close(daily).join(zones, "instrument_id"), grid, F.col("__zone")).drop("__zone")
+    rows = with_metadata(joins.drop_dead_stamps(rows), universe)
+    rows = to_base(rows, quotes, base) if quotes is not None else rows
+    rows = rows.withColumn("is_session", F.lit(True))
+    rows = with_cash(rows, yields) if yields is not None else rows.withColumn("daily_tbill", F.lit(0.0))
+    return total_return(rows) if scale else rows

@@ -259,6 +259,15 @@ query(
     "metrics_excess",
     f"WITH u AS ({' UNION ALL '.join(f'SELECT {n!r} AS run_id, (SELECT arg_max(equity, ts_utc) / arg_min(equity, ts_utc) - 1 FROM (WITH {book} SELECT * FROM eq)) AS t' for n, book in (('even', _BOOK), ('static', _STATIC)))}) SELECT run_id, round(t, 6) AS total_return, round(t - (SELECT t FROM u WHERE run_id = 'even'), 6) AS excess FROM u",
 )(lambda s, d: metrics.run_returns(_runs(s, d), "even"))
+_VENUE = "(CASE WHEN n.instrument_id = 'view' THEN ((b.ts_utc AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Kolkata')::DATE ELSE " + _NY + " END)"
+query(
+    "panel_session",
+    f"""WITH b AS ({DAY}), {_GRID}, n AS (SELECT DISTINCT instrument_id FROM b), l AS (SELECT n.instrument_id, b.close, {_VENUE} AS session_date FROM n JOIN b ON b.instrument_id = n.instrument_id),
+p AS (SELECT n.instrument_id, g.c AS ts_utc, g.session_date, l.close FROM grid g CROSS JOIN n LEFT JOIN l ON l.instrument_id = n.instrument_id AND l.session_date = g.session_date),
+q AS (SELECT ts_utc, close AS fx FROM b WHERE instrument_id = 'click' AND day(ts_utc) % 4 = 1), f AS (SELECT p.*, q.fx FROM p ASOF LEFT JOIN q ON p.ts_utc >= q.ts_utc)
+SELECT {KEYS}, session_date, round(CASE WHEN instrument_id = 'view' AND fx <> 0 THEN close / fx ELSE close END, 6) AS close, TRUE AS is_session, 0.0::DOUBLE AS daily_tbill
+FROM f WHERE ts_utc IN (SELECT ts_utc FROM p GROUP BY 1 HAVING count(close) > 0)""",
+)(lambda s, d: panel.session_panel(bars(s, d, "day"), _universe(s, d), _grid(s), _quotes(s, d)).select("instrument_id", "ts_utc", "session_date", "close", "is_session", "daily_tbill"))
 query(
     "metrics_cash",
     f"""WITH {_BOOK}, a AS (SELECT count(*) AS n, date_diff('microsecond', min(ts_utc), max(ts_utc)) / 86400000000 / 365.25 AS y, avg(r) AS m, stddev_samp(r) AS sd, sqrt(avg(pow(least(r, 0), 2))) AS dn FROM eq), yr AS (SELECT year(ts_utc) AS y, product(1 + r) - 1 AS ret FROM eq GROUP BY 1)
@@ -310,6 +319,9 @@ def _grid_panel(s: SparkSession, d: str) -> DataFrame:
 
 
 query("prism_live")(lambda s, d: trend.signals(_grid_panel(s, d)).select("instrument_id", "ts_utc", "trend", "live", "ramp", "liq_cap"))
+query("prism_clusters")(lambda s, d: trend.monthly_clusters(trend.prepared(px_daily(s, d))))
+# these names seldom print on the same day, so the window is longer than the strategy's
+query("prism_lw")(lambda s, d: trend.latest_covariance(trend.prepared(px_daily(s, d)), window=2520))
 query("prism_allocate")(lambda s, d: trend.clustered_trend(_grid_panel(s, d)).select("instrument_id", "ts_utc", "weight"))
 
 

@@ -175,3 +175,16 @@ def test_streamed_bars_equal_batch_and_upsert(spark, tmp_path):
     stored_bars(spark, ("x", "1d", t0, 1.0), ("x", "1d", t0 + timedelta(days=1), 2.0)).write.parquet(str(tmp_path / "in"))
     upsert_bars(spark.readStream.schema(BAR).parquet(str(tmp_path / "in")), s, str(tmp_path / "c2")).awaitTermination(120)
     assert [r.close for r in s.scan("A", "1d", t0, t0 + timedelta(days=1)).collect()] == [1.0, 2.0]
+
+
+def test_clusters_by_month_and_covariance(spark):
+    rule = np.random.default_rng(5)
+    common = rule.normal(size=90)
+    made = {"A": common, "B": common + rule.normal(scale=0.1, size=90), "C": rule.normal(size=90)}
+    rows = spark.createDataFrame([(n, datetime(2024, 1, 1, 21) + timedelta(days=i), float(v)) for n, x in made.items() for i, v in enumerate(x)], "instrument_id string, ts_utc timestamp, ret double")
+    got = {(r.month, r.instrument_id): r.cluster for r in trend.monthly_clusters(rows).collect()}
+    assert [got["202401", n] for n in "ABC"] == [0, 1, 2]  # one stamp is too short a history
+    assert [got["202403", n] for n in "ABC"] == [0, 0, 1]
+    cov = {(r.a, r.b): r["cov"] for r in trend.latest_covariance(rows).collect()}
+    assert cov["A", "B"] == cov["B", "A"] and abs(cov["A", "A"] - common.var()) < 1e-9 and len(cov) == 9
+    assert trend.latest_covariance(rows.limit(30)).collect() == [] == trend.latest_covariance(rows.limit(0)).collect()
