@@ -236,15 +236,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """Columns of docs other than text, fp and component_id."""
+    """Columns of docs other than text, fp, root (a fingerprint that only this component has) and component_id."""
     rows = stored(fingerprints(docs, words), "fingerprints")
     first = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(first.select("fp")))
     named = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = stored(named, "roots")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(*[c for c in rows.columns if c != "fp"], "fp", "component_id")
+    named = named.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select(*[c for c in rows.columns if c != "fp"], "fp", "root", "component_id")
 
 
 def op8_simhash(docs: DataFrame) -> DataFrame:
@@ -261,8 +261,8 @@ def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
     hashed = docs.withColumn("__h", F.xxhash64("text"))
     names = ["doc_id", "__h"]
     groups = near_duplicates(hashed.select(*names, "text"), words)
-    # groups have few columns; only the chosen keys, one for each group, go to the rows
-    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *names)).alias("first"))
+    # component_id is null or shared where doc_ids are; groups have few columns, and only the chosen keys, one for each group, go to the rows
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *names)).alias("first"))
     first = stored(first.select("first.doc_id", "first.__h").withColumnsRenamed({"doc_id": "__id", "__h": "__key"}), "first")
     kept = hashed.join(first, hashed["doc_id"].eqNullSafe(first["__id"]) & (hashed["__h"].eqNullSafe(first["__key"])), "left_semi")
     return kept.dropDuplicates(names).drop("__h")

@@ -164,6 +164,12 @@ def test_one_of_each(spark):
     assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [1, 2]
 
 
+def test_one_of_each_keeps_unrelated_texts_without_a_doc_id_of_their_own(spark):
+    texts = [" ".join(f"{k}{i}" for i in range(200)) for k in "abcde"]
+    docs = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4])], "doc_id long, text string")
+    assert sorted(r.text for r in simhash.one_of_each(docs).collect()) == texts
+
+
 def filtered_png(samples, kind):
     height, width = samples.shape
     body, prior = b"", [0] * width
