@@ -72,11 +72,9 @@ def windows(codes: Column, sizes: list[int]) -> Column:
 
 
 def items(benchmark: DataFrame) -> DataFrame:
-    """item_id, words, codes, size (of its windows), n_windows and class_id (the smallest item with its template)."""
+    """item_id, words, codes, size (of its windows), n_windows and class_id (a hash of the template: item_ids may be null or shared)."""
     rows = benchmark.select("item_id", tokens(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
-    rows = rows.withColumn("codes", template(F.col("words")))
-    first = rows.groupBy("codes").agg(F.min("item_id").alias("class_id"))
-    rows = rows.join(first, "codes")
+    rows = rows.withColumn("codes", template(F.col("words"))).withColumn("class_id", F.xxhash64("codes"))
     size = F.least(F.size("codes"), F.lit(WINDOW))
     return rows.withColumn("size", size).withColumn("n_windows", F.size("codes") - size + 1)
 

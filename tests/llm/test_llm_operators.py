@@ -304,6 +304,16 @@ def test_reparameterised_questions(spark):
     assert sorted(r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()) == [2, 3]
 
 
+def test_templates_that_share_an_item_id_or_have_none(spark):
+    texts = [" ".join(f"{k}{c}" for c in "qwertyuiopasdf") for k in "abcde"]
+    bench = spark.createDataFrame(list(zip([1, 1, None, None, 2], texts, strict=True)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate([*texts, "only clean words here and nothing of the benchmark"])], "doc_id long, text string")
+    got = decontaminate.op5_decontaminate(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got if r.item_id) == [(0, 1), (1, 1), (4, 2)]
+    assert sorted(r.doc_id for r in got if r.item_id is None) == [2, 3]
+    assert [r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()] == [5]
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "hello"), (3, 1, "assistant", "hello"), (4, 0, "user", "hi"), (4, 1, "assistant", "no"), (5, 0, None, None), (None, 0, "user", "")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
