@@ -4,8 +4,9 @@ A text becomes words, numbers and names (capitalised words inside a sentence, ru
 after numbers become typed placeholders and words lower case.  Windows of ``WINDOW`` template tokens, half of
 them words at least, are hashed; documents' windows are hash-joined with those of the benchmark, once for
 each distinct template.  An item is found in a document when ``RUN`` of its windows match, or half of them if that
-is fewer.  Then the slots must agree: along the best alignment, equal
-values of the item must stand where equal values of the document stand.  So a copy is found ("exact"), and a
+is fewer: different windows of the item, at alignments (document's position less the item's) in one run, whose steps are
+``NEAR`` at most.  Then the slots must agree: along one alignment that has so many windows itself, or along a best one of its
+run, equal values of the item must stand where equal values of the document stand.  So a copy is found ("exact"), and a
 question with other numbers, names or units too ("reparameterised"), but not a text that shares a template by chance.
 
 Items of fewer tokens than a window are one window of their own length; items without words match nothing.  Null
@@ -16,12 +17,13 @@ as are keys of documents that may hold an item; beyond, the joins are shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlab.llm.common import stored
 
 WINDOW, RUN, SHARE = 8, 6, 0.5
+NEAR = 2 * WINDOW
 SMALL = 500_000
 #: Units that become a placeholder after a number.
 UNITS = (
@@ -111,10 +113,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     each = rows.select("k1", "k2", tokens(F.col("text")).alias("words")).withColumn("codes", template(F.col("words")))
     each = each.select("k1", "k2", F.explode(windows(F.col("codes"), sizes)).alias("w")).select("k1", "k2", "w.pos", "w.h")
     hits = _joined(each, known, ["h"]).groupBy("k1", "k2", "class_id", "n_windows", (F.col("pos") - F.col("cpos")).alias("shift"))
-    hits = hits.agg(F.countDistinct("cpos").alias("n"), F.min("cpos").alias("a"), F.max("cpos").alias("b"))
-    best = hits.groupBy("k1", "k2", "class_id", "n_windows").agg(F.sum("n").alias("matched"), F.max(F.struct("n", -F.col("shift"), "shift", "a", "b")).alias("at"))
+    hits = hits.agg(F.collect_set("cpos").alias("places"))
+    # alignments of a document and a template, at most as many as the document has tokens, fall into runs
+    order = Window.partitionBy("k1", "k2", "class_id").orderBy("shift")
+    hits = hits.withColumn("step", (F.col("shift") - F.lag("shift").over(order) > NEAR).cast("int")).withColumn("run", F.sum(F.coalesce("step", F.lit(0))).over(order))
+    one = F.struct(F.size("places").alias("n"), "shift", F.array_min("places").alias("a"), F.array_max("places").alias("b"))
+    runs = hits.groupBy("k1", "k2", "class_id", "n_windows", "run").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.collect_list(one).alias("ways"))
     least = F.least(F.lit(RUN), F.ceil(F.col("n_windows") * SHARE))
-    found = stored(best.where(F.col("matched") >= least).select("k1", "k2", "class_id", "matched", "at.shift", "at.a", "at.b"), "found")
+    runs = runs.withColumn("matched", F.size("places").cast("long")).where(F.col("matched") >= least)
+    runs = runs.withColumn("enough", F.least(least, F.array_max(F.transform("ways", lambda x: x["n"]))))
+    found = runs.select("k1", "k2", "class_id", "matched", F.explode(F.filter("ways", lambda x: x["n"] >= F.col("enough"))).alias("at"))
+    found = stored(found.select("k1", "k2", "class_id", "matched", "at.n", "at.shift", "at.a", "at.b"), "found")
     texts = _joined(rows, found.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").distinct()
     pairs = _joined(texts.select("k1", "k2", "doc_id", tokens(F.col("text")).alias("theirs")).join(found, ["k1", "k2"]), made, ["class_id"])
     ours = F.sequence(F.col("a"), F.col("b") + F.col("size") - 1)
@@ -122,9 +131,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = pairs.withColumn("slots", F.array_distinct(slots))
     agree = F.size(F.array_distinct(F.transform("slots", lambda s: s["item"]))) == F.size("slots")
     changed = F.size(F.filter("slots", lambda s: ~s["item"].eqNullSafe(s["doc"])))
-    return pairs.where(agree).select(
-        "k1", "k2", "doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), F.least("matched", F.col("n_windows").cast("long")).alias("matched"),
-        F.size("slots").cast("long").alias("n_slots"), changed.cast("long").alias("n_changed"), F.when(changed > 0, "reparameterised").otherwise("exact").alias("kind"),
+    pairs = pairs.where(agree).withColumn("way", F.struct("matched", "n", -F.col("shift"), F.size("slots").cast("long").alias("n_slots"), changed.cast("long").alias("n_changed")))
+    pairs = pairs.groupBy("k1", "k2", "doc_id", "item_id", F.xxhash64("words"), "n_windows").agg(F.max("way").alias("way"))
+    return pairs.select(
+        "k1", "k2", "doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), "way.matched",
+        "way.n_slots", "way.n_changed", F.when(F.col("way.n_changed") > 0, "reparameterised").otherwise("exact").alias("kind"),
     )
 
 

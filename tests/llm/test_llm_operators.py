@@ -314,6 +314,18 @@ def test_templates_that_share_an_item_id_or_have_none(spark):
     assert [r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()] == [5]
 
 
+def test_windows_count_once_and_every_alignment_is_tried(spark):
+    filler = lambda k, n: " ".join(f"{k}{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(n))
+    phrase = "which of the following is the correct answer"
+    item = "we saw {} apples and {} pears there while {} apples fell from the old tree"
+    bench = spark.createDataFrame([(1, f"{filler('x', 30)} {phrase} {filler('y', 30)}"), (2, item.format(3, 5, 3))], "item_id long, text string")
+    texts = [" ".join(f"{filler(k, 40)} {phrase}" for k in "abcdef"), f"{item.format(7, 9, 8)} {filler('g', 30)} {item.format(3, 5, 3)}", item.format(7, 9, 8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.kind) for r in decontaminate.op5_decontaminate(docs, bench).collect())
+    assert got == [(1, 2, "exact")]
+    assert sorted(r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()) == [0, 2]
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "hello"), (3, 1, "assistant", "hello"), (4, 0, "user", "hi"), (4, 1, "assistant", "no"), (5, 0, None, None), (None, 0, "user", "")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
