@@ -326,6 +326,18 @@ def test_windows_count_once_and_every_alignment_is_tried(spark):
     assert sorted(r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()) == [0, 2]
 
 
+def test_names_at_the_start_of_sentences(spark):
+    text = "{0} has {2} apples and 5 pears. {1} gives her 2 more apples. {0} then eats {3} pears. How many pieces of fruit does {0} have?"
+    quoted = '"{0} has {1} red boats and {2} blue boats," he said.\n{0} sold {2} boats (Later {3} paid {1} coins).\n{3} was very glad of that.'
+    bench = spark.createDataFrame([(1, text.format("Alice", "Bob", 3, 4)), (2, quoted.format("Peter", 6, 8, "Simon"))], "item_id long, text string")
+    rows = [text.format("Carol", "Dan", 7, 9), text.format("Alice", "Bob", 3, 4), quoted.format("Maria", 9, 2, "Julia"), "Carol has nothing. Dan gives her a book about the town. How many pages does it have?"]
+    mixed = "Carol has 7 apples and 5 pears. Dan gives her 2 more apples. Emma then eats 9 pears. How many pieces of fruit does Fay have?"
+    docs = spark.createDataFrame(list(enumerate([*rows, mixed])), "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.kind) for r in decontaminate.op5_decontaminate(docs, bench).collect())
+    assert got == [(0, 1, "reparameterised"), (1, 1, "exact"), (2, 2, "reparameterised")]
+    assert sorted(r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()) == [3, 4]
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "hello"), (3, 1, "assistant", "hello"), (4, 0, "user", "hi"), (4, 1, "assistant", "no"), (5, 0, None, None), (None, 0, "user", "")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
