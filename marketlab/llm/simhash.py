@@ -253,14 +253,14 @@ def op8_simhash(docs: DataFrame) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 3, grouped=near_duplicates) -> DataFrame:
     """The rows of docs, all columns, that stand first in their group: smallest doc_id, then smallest text hash.
 
-    Rows equal in both are copies of one row, of which one stays.
+    Rows equal in both are copies of one row, of which one stays.  ``grouped`` gives the rows' groups as root.
     """
     hashed = docs.withColumn("__h", F.xxhash64("text"))
     names = ["doc_id", "__h"]
-    groups = near_duplicates(hashed.select(*names, "text"), words)
+    groups = grouped(hashed.select(*names, "text"), words)
     # component_id is null or shared where doc_ids are; groups have few columns, and only the chosen keys, one for each group, go to the rows
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *names)).alias("first"))
     first = stored(first.select("first.doc_id", "first.__h").withColumnsRenamed({"doc_id": "__id", "__h": "__key"}), "first")

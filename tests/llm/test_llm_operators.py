@@ -170,6 +170,32 @@ def test_one_of_each_keeps_unrelated_texts_without_a_doc_id_of_their_own(spark):
     assert sorted(r.text for r in simhash.one_of_each(docs).collect()) == texts
 
 
+def test_near_duplicate_stage_finds_edited_copies(spark):
+    import corpus_pipeline
+    from marketlab.llm import minhash
+
+    rule = random.Random(6)
+    texts = [[f"w{rule.randrange(10**6)}" for _ in range(200)] for _ in range(40)]
+
+    def edited(words, n):
+        out = list(words)
+        for at in rule.sample(range(0, 200, 10), n):
+            out[at] = f"x{rule.randrange(10**6)}"
+        return out
+
+    rows = [*texts, *(edited(t, 1 + i % 4) for i, t in enumerate(texts[:20])), *(edited(t, 10) for t in texts[20:])]
+    rows += [edited(texts[0], 3) for _ in range(30)]
+    sets = [set(minhash.shingles(" ".join(t).encode()).tolist()) for t in rows]
+    group = list(range(len(rows)))
+    for a, b in combinations(range(len(rows)), 2):
+        if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+            old, new = max(group[a], group[b]), min(group[a], group[b])
+            group = [new if g == old else g for g in group]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect())
+    assert got == sorted(set(group)) == [*range(40), *range(60, 80)]
+
+
 def filtered_png(samples, kind):
     height, width = samples.shape
     body, prior = b"", [0] * width
