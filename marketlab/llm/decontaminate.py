@@ -59,19 +59,19 @@ def template(words: Column) -> Column:
     return F.transform(words, one)
 
 
-def begins(words: Column) -> Column:
-    """Places of capitalised words that ``template`` takes for words: names perhaps, with nothing before them that tells."""
+def named(words: Column, codes: Column) -> Column:
+    """codes with names for capitalised words that ``template`` takes for words: names perhaps, with nothing before them that tells."""
 
-    def capital(t: Column) -> Column:
+    def one(t: Column, c: Column) -> Column:
         low = F.lower(t)
-        return (t != low) & (F.length(t) > 1) & (F.substr(t, F.lit(2)) == F.substr(low, F.lit(2)))
+        return F.when((t != low) & (F.length(t) > 1) & (F.substr(t, F.lit(2)) == F.substr(low, F.lit(2))), F.lit(NAME).cast("long")).otherwise(c)
 
-    return F.filter(F.transform(words, lambda t, i: F.when(capital(t), i).otherwise(F.lit(-1))), lambda i: i >= 0)
+    return F.zip_with(words, codes, one)
 
 
-def named(codes: Column, begin: Column) -> Column:
-    """codes with names at the places ``begin``."""
-    return F.when(F.size(begin) == 0, codes).otherwise(F.transform(codes, lambda c, i: F.when(F.array_contains(begin, i), F.lit(NAME).cast("long")).otherwise(c)))
+def begins(codes: Column, names: Column) -> Column:
+    """Places where names differ from codes."""
+    return F.filter(F.transform(codes, lambda c, i: F.when(c != F.get(names, i), i).otherwise(F.lit(-1))), lambda i: i >= 0)
 
 
 def _is_slot(code: Column) -> Column:
@@ -97,8 +97,8 @@ def windows(codes: Column, sizes: list[int], begin: Column | None = None) -> Col
 def items(benchmark: DataFrame) -> DataFrame:
     """item_id, words, codes, begin, names (codes with names there), size (of its windows), n_windows and class_id (a hash of the template: item_ids may be null or shared)."""
     rows = benchmark.select("item_id", tokens(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
-    rows = rows.withColumn("codes", template(F.col("words"))).withColumn("begin", begins(F.col("words")))
-    rows = rows.withColumn("names", named(F.col("codes"), F.col("begin"))).withColumn("class_id", F.xxhash64("codes", "begin"))
+    rows = rows.withColumn("codes", template(F.col("words"))).withColumn("names", named(F.col("words"), F.col("codes")))
+    rows = rows.withColumn("begin", begins(F.col("codes"), F.col("names"))).withColumn("class_id", F.xxhash64("codes", "begin"))
     size = F.least(F.size("codes"), F.lit(WINDOW))
     return rows.withColumn("size", size).withColumn("n_windows", F.size("codes") - size + 1)
 
@@ -134,7 +134,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = _keyed(docs.select("doc_id", "text"))
     # each column is used twice by the next step, so it is computed once for a row and not again within it
     each = rows.select("k1", "k2", tokens(F.col("text")).alias("words")).withColumn("codes", template(F.col("words")))
-    each = each.withColumn("begin", begins(F.col("words"))).withColumn("names", named(F.col("codes"), F.col("begin")))
+    each = each.withColumn("names", named(F.col("words"), F.col("codes"))).withColumn("begin", begins(F.col("codes"), F.col("names")))
     each = each.select("k1", "k2", F.explode(F.concat(windows(F.col("codes"), sizes), windows(F.col("names"), sizes, F.col("begin")))).alias("w"))
     each = each.select("k1", "k2", "w.pos", "w.h", F.col("w.named").alias("__named"))
     # windows without names at starts count in both readings, the others in the second
