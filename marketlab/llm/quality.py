@@ -9,7 +9,8 @@ collected.
 Null text counts as empty, whose statistics are all defined.  Several labels of one document count by
 their mean (1 from a half).  Labels without a document, null labels and documents without a label do
 not train.  Where a class has fewer than two rows, scores are the share of class 1 (1/2 without
-labels).  Equal texts get equal scores; other columns are not read or, when filtering, kept.
+labels).  Equal texts get equal scores, and each of repeated rows trains and is scored.  Very long texts are worked whole, a few MB of
+texts at a time.  An empty table gives no rows.  Other columns are not read or, when filtering, kept.
 """
 
 from __future__ import annotations
@@ -23,9 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlab.llm.common import mapped, split_of
+from marketlab.llm.common import importable, mapped, slices, split_of, stored
 
 NAMES = ("words", "word_size", "word_spread", "capitals", "digits", "symbols", "stops", "pipes", "distinct", "again", "top", "breaks", "marked", "high", "empty")
+COLUMNS = [f"s_{x}" for x in NAMES]
+#: Labelled documents that are broadcast at most; beyond, labels are joined to the statistics by a shuffle.
+SMALL = 1_000_000
 
 _kind = np.zeros(256, np.int64)
 _kind[list(b"abcdefghijklmnopqrstuvwxyz")] = 1
@@ -72,16 +76,16 @@ def statistics(text: bytes | None) -> list[float]:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """Columns of docs other than text, and one double for each statistic."""
+    """Columns of docs other than text, and one double for each statistic; texts do not come back from Python."""
     keep = [c for c in docs.columns if c != "text"]
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             got = np.array([statistics(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x) for x in got.T)], [*keep, *(f"s_{x}" for x in NAMES)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x) for x in got.T)], [*keep, *COLUMNS])
 
-    return mapped(docs, run, kinds + ", ".join(f"s_{x} double" for x in NAMES))
+    return mapped(docs, run, kinds + ", ".join(f"{x} double" for x in COLUMNS))
 
 
 class Discriminant:
@@ -109,11 +113,15 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Discriminant:
-    """Moments of all labelled rows of docs (doc_id and text), summed in place; 2 rows reach the driver."""
-    known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(column) >= 0.5).cast("int").alias("y"))
-    rows = with_statistics(docs.select("doc_id", "text")).join(known, "doc_id")
-    d, cols = len(NAMES), [F.col(f"s_{x}") for x in NAMES]
+def labels_of(labels: DataFrame, column: str = "quality") -> DataFrame:
+    """doc_id and y, the class that most labels of a document name."""
+    return labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(column) >= 0.5).cast("int").alias("y"))
+
+
+def fit(rows: DataFrame, known: DataFrame) -> Discriminant:
+    """Moments of all labelled rows (doc_id and statistics), summed in place; 2 rows reach the driver."""
+    rows = rows.join(known, "doc_id")
+    d, cols = len(NAMES), [F.col(x) for x in COLUMNS]
     sums = [F.sum(c).alias(f"t{i}") for i, c in enumerate(cols)]
     pairs = [F.sum(cols[i] * cols[j]).alias(f"o{i}_{j}") for i in range(d) for j in range(i, d)]
     n, total, outer = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
@@ -126,23 +134,38 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Discrimi
     return Discriminant(n, total, outer)
 
 
-def scored(docs: DataFrame, model: Discriminant, least: float | None = None) -> DataFrame:
-    """docs with __score, all columns kept; with ``least``, only rows of that score or more, without the score."""
-    names = docs.columns
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def scored(rows: DataFrame, model: Discriminant) -> DataFrame:
+    """Columns of rows other than the statistics, and score."""
+    keep = [c for c in rows.columns if c not in COLUMNS]
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in keep)
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        model = sent.value
         for batch in batches:
-            x = np.array([statistics(t) for t in batch.column(names.index("text")).cast(pa.binary()).to_pylist()]).reshape(-1, len(NAMES))
-            score = model.score(x)
-            if least is None:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*names, "__score"])
-            else:
-                yield batch.filter(pa.array(score >= least))
+            x = np.stack([batch.column(c).to_numpy() for c in COLUMNS], 1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sent.value.score(x))], [*keep, "score"])
+
+    return mapped(rows, run, f"{kinds}score double")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, column: str = "quality") -> DataFrame:
+    """The rows of docs, all columns, that score ``least`` or more by a discriminant fitted to those with a label and a split (modulo 3) that is not 1.
+
+    Only labelled rows get statistics for the fit.  When the rows are scored, a text goes to Python and one number comes back.
+    """
+    known = labels_of(labels, column)
+    small = known.count() <= SMALL
+    rows = training(docs).join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi") if small else training(docs)
+    model = fit(with_statistics(rows), F.broadcast(known) if small else known)
+    importable(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def score(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        parts = [np.array([statistics(t) for t in part.column(0).cast(pa.binary()).to_pylist()]) for part in slices(batch)]
+        return pa.array(np.concatenate([sent.value.score(x) for x in parts]) if parts else np.zeros(0), pa.float64())
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return mapped(docs, run, kinds + (", __score double" if least is None else ""))
+    return docs.where(F.arrow_udf(score, "double")(F.col("text").cast("string")) >= least)
 
 
 def training(docs: DataFrame) -> DataFrame:
@@ -150,6 +173,11 @@ def training(docs: DataFrame) -> DataFrame:
 
 
 def op10_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Scores of all documents by a discriminant fitted to the labels of those whose split (modulo 3) is not 1."""
-    out = scored(docs.select("doc_id", "text"), fit(training(docs), labels))
-    return out.select("doc_id", (split_of(F.col("doc_id"), 3) == 1).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    """Scores of all documents by a discriminant fitted to the labels of those whose split (modulo 3) is not 1.
+
+    Every text is read once: its statistics are written, fitted and scored.
+    """
+    rows = docs.select("doc_id", (split_of(F.col("doc_id"), 3) == 1).alias("held_out"), "text")
+    rows = stored(with_statistics(rows), "statistics")
+    out = scored(rows.select("doc_id", "held_out", *COLUMNS), fit(rows.where(~F.col("held_out")), labels_of(labels)))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
