@@ -374,6 +374,20 @@ def test_chat(spark):
     assert chat.op2_chat(turns.limit(0)).collect() == []
 
 
+def test_chat_ties_and_long_turns(spark):
+    """Turns that share a number and role stand in the order of their texts; the prefixes follow that order."""
+    long = "x" * 300_000
+    rows = [
+        (1, 0, "user", "a"), (1, 0, "user", "b"), (1, 1, "assistant", "c"), (2, 0, "user", "b"), (2, 0, "user", "a"), (2, 0, "user", "a"), (3, 0, "user", "a"), (4, 0, "user", "b"),
+        (5, 0, "user", long), (6, 0, "user", long), (6, 1, "assistant", long + "y"), *((7, i, "user", f"turn {i}") for i in range(500)), *((8, i, "user", f"turn {i}") for i in range(499)),
+    ]
+    turns = spark.createDataFrame([(*r, 1, "k", True) for r in rows], "conv_id long, turn long, role string, text string, pos long, h1 string, last boolean")
+    got = {r.conv_id: r for r in chat.op2_chat(turns).collect()}
+    assert set(got) == {1, 4, 6, 7} and got[7].n_turns == 500
+    assert got[1].chat == "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in (("user", "a"), ("user", "b"), ("assistant", "c")))
+    assert len(got[6].chat) == 600_001 + len("<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n")
+
+
 def test_insults_with_gaps():
     rule, words = random.Random(3), "the of and this that house river stone green paper window table summer winter market garden letter number people school".split()
     sentence = lambda extra=(): " ".join(rule.sample(words * 3, 12) + list(extra))
