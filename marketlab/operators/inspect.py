@@ -11,10 +11,9 @@ SPIKE_RATIO, SPIKE_ROWS, SPIKE_LEAST = 8.0, 21, 5
 
 
 def expected_opens(windows: DataFrame, minutes: int) -> DataFrame:
-    """Each bar open of the half-open windows (instrument_id, start_utc, end_utc)."""
-    step = F.make_interval(mins=F.lit(minutes))
-    last = F.col("end_utc") - step
-    return windows.where(F.col("start_utc") <= last).select("instrument_id", F.explode(F.expr(f"sequence(start_utc, end_utc - INTERVAL '{minutes}' MINUTE, INTERVAL '{minutes}' MINUTE)")).alias("ts_utc"))
+    """Each bar open before the end of the half-open windows (instrument_id, start_utc, end_utc); the last bar of a window may be short."""
+    opens = F.expr(f"sequence(start_utc, end_utc - INTERVAL '0.000001' SECOND, INTERVAL '{minutes}' MINUTE)")
+    return windows.where(F.col("start_utc") < F.col("end_utc")).select("instrument_id", F.explode(opens).alias("ts_utc"))
 
 
 def missing_opens(bars: DataFrame, windows: DataFrame, minutes: int) -> DataFrame:
@@ -37,10 +36,10 @@ def point_flags(bars: DataFrame) -> DataFrame:
 
 
 def spikes(bars: DataFrame) -> DataFrame:
-    """Bars whose range exceeds 8 times its rolling median, in series of 21 rows or more."""
+    """Bars whose range exceeds 8 times its rolling median, where that is above 0, in series of 21 rows or more."""
     rows = bars.withColumn("__r", F.col("high") - F.col("low")).withColumn("__n", F.count("*").over(Window.partitionBy("instrument_id")))
     rows = rows.withColumn("__m", median("__r", SPIKE_ROWS, SPIKE_LEAST))
-    return rows.where((F.col("__n") >= SPIKE_ROWS) & (F.col("__r") > F.col("__m") * SPIKE_RATIO)).select("instrument_id", "ts_utc", F.lit("spike").alias("kind"))
+    return rows.where((F.col("__n") >= SPIKE_ROWS) & (F.col("__m") > 0) & (F.col("__r") > F.col("__m") * SPIKE_RATIO)).select("instrument_id", "ts_utc", F.lit("spike").alias("kind"))
 
 
 def find_problems(bars: DataFrame, windows: DataFrame, minutes: int) -> DataFrame:

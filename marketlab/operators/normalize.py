@@ -45,7 +45,7 @@ def total_return(bars: DataFrame) -> DataFrame:
 
 
 def repair_levels(bars: DataFrame) -> DataFrame:
-    """Bars a tenth (or ten times) of both neighbouring levels are scaled back, volume the other way.
+    """Bars a tenth (or ten times) of both neighbouring levels are scaled back, the adjusted close with them, volume the other way.
 
     Looks five bars ahead by design, so it belongs to normalisation and to no strategy.
     """
@@ -62,7 +62,7 @@ def repair_levels(bars: DataFrame) -> DataFrame:
     low = p.between(SLIP_LOW, SLIP_HIGH) & q.between(SLIP_LOW, SLIP_HIGH)
     high = p.between(1 / SLIP_HIGH, 1 / SLIP_LOW) & q.between(1 / SLIP_HIGH, 1 / SLIP_LOW)
     bars = bars.withColumn("__k", F.when(enough & low, 10.0).when(enough & high, 0.1).otherwise(1.0))
-    for c in ("open", "high", "low", "close"):
+    for c in ("open", "high", "low", "close", *(["adj_close"] if "adj_close" in bars.columns else [])):
         bars = bars.withColumn(c, F.col(c) * F.col("__k"))
     return bars.withColumn("volume", F.col("volume") / F.col("__k")).drop("__p", "__q", "__k")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlab.functions.windows import by_time, mean, so_far
@@ -10,6 +10,11 @@ from marketlab.functions.windows import by_time, mean, so_far
 OUT = ("instrument_id", "ts_utc", "weight")
 
 
+def price(panel: DataFrame) -> Column:
+    """What signals compare: the adjusted close, or the close where there is none."""
+    return F.coalesce("adj_close", "close") if "adj_close" in panel.columns else F.col("close")
+
+
 def names_per_stamp(panel: DataFrame) -> DataFrame:
     """(instrument, time) is unique in a panel, so a count of rows counts names."""
     return panel.withColumn("n_names", F.count("*").over(Window.partitionBy("ts_utc")))
@@ -50,7 +55,7 @@ def guard(panel: DataFrame, name: str, exit_n: int, enter_n: int, on: dict[str,
     A bar with both signals turns the latch over, one with neither keeps it; so the state is the last
     single signal (on at first), turned over as often as both came since: a window, not a loop.
     """
-    g = panel.where((F.col("instrument_id") == name) & F.col("close").isNotNull()).select("instrument_id", "ts_utc", "close")
+    g = panel.where(F.col("instrument_id") == name).select("instrument_id", "ts_utc", price(panel).alias("close"))
     g = g.withColumn("__x", mean("close", exit_n)).withColumn("__e", mean("close", enter_n))
     rising = F.col("__x") > F.lag("__x", rise_bars).over(by_time()) if rise_bars else F.lit(True)
     leave = F.coalesce(F.col("close") < F.col("__x"), F.lit(False))
@@ -70,13 +75,13 @@ def guard(panel: DataFrame, name: str, exit_n: int, enter_n: int, on: dict[str,
 
 
 def year_winner(panel: DataFrame, n: int, min_prints: int, zone: str = "Asia/Kolkata") -> DataFrame:
-    """At each year end the n names of highest full-year return, equally weighted; ties by name.
+    """At each year end the n names of highest full-year return (of adjusted closes), equally weighted; ties by name.
 
     A name counts with ``min_prints`` closes at least, the first in the year's first month, the last on the year's last stamp.
     """
     from marketlab.operators.calendar import period_ends
 
-    rows = panel.where("close is not null").withColumn("__local", F.from_utc_timestamp("ts_utc", zone)).withColumn("period", F.to_date(F.date_trunc("year", "__local")))
+    rows = panel.withColumn("close", price(panel)).where("close is not null").withColumn("__local", F.from_utc_timestamp("ts_utc", zone)).withColumn("period", F.to_date(F.date_trunc("year", "__local")))
     ends = period_ends(panel, "year", zone)
     year = rows.groupBy("instrument_id", "period").agg(
         F.min_by("close", "ts_utc").alias("first"), F.max_by("close", "ts_utc").alias("last"), F.count("*").alias("prints"), F.min("__local").alias("from"), F.max("ts_utc").alias("to")
@@ -99,7 +104,7 @@ def trailing_winners(panel: DataFrame, n: int, min_prints: int, sleeves: DataFra
     """
     from marketlab.operators.calendar import period_ends
 
-    prints = panel.where("close is not null").select("instrument_id", "ts_utc", "close", F.row_number().over(by_time()).alias("__n"))
+    prints = panel.withColumn("close", price(panel)).where("close is not null").select("instrument_id", "ts_utc", "close", F.row_number().over(by_time()).alias("__n"))
     ends = period_ends(panel, "quarter", zone)
     spans = ends.join(ends.select(F.col("ts_utc").alias("__from"), F.add_months("period", 12).alias("period")), "period").select("ts_utc", "__from")
     start = prints.select("instrument_id", F.col("ts_utc").alias("__from"), F.col("close").alias("__a"), F.col("__n").alias("__na"))

@@ -224,9 +224,38 @@ def _moving(s: SparkSession, d: str) -> DataFrame:
 query(
     "broker_banded",
     f"""WITH RECURSIVE b AS ({PX_SMOOTH_SQL}), t AS (SELECT *, round(close / sum(close) OVER (PARTITION BY ts_utc), 9) AS weight FROM b), ds AS (SELECT *, lag(weight) OVER ({W}) AS g, row_number() OVER ({W}) AS rn FROM t),
-h AS (SELECT instrument_id, ts_utc, rn, 0.0::DOUBLE AS w FROM ds WHERE rn = 1 UNION ALL SELECT ds.instrument_id, ds.ts_utc, ds.rn, CASE WHEN g IS NULL OR open IS NULL OR abs(g - h.w) < 0.05 - 1e-12 THEN h.w ELSE h.w + (g - h.w) / 2 END FROM h JOIN ds ON ds.instrument_id = h.instrument_id AND ds.rn = h.rn + 1)
+h AS (SELECT instrument_id, ts_utc, rn, 0.0::DOUBLE AS w FROM ds WHERE rn = 1 UNION ALL SELECT ds.instrument_id, ds.ts_utc, ds.rn, CASE WHEN g IS NULL OR open IS NULL THEN h.w WHEN abs(g) <= 1e-12 THEN 0 WHEN abs(g - h.w) < 0.05 - 1e-12 THEN h.w ELSE h.w + (g - h.w) / 2 END FROM h JOIN ds ON ds.instrument_id = h.instrument_id AND ds.rn = h.rn + 1)
 SELECT {KEYS}, round(w, 6) AS w FROM h""",
 )(lambda s, d: broker.banded(broker.desired(px_smooth(s, d), _moving(s, d)), flat=0.05, half=True).select("instrument_id", "ts_utc", "w"))
+
+
+def _holed(s: SparkSession, d: str) -> DataFrame:
+    """The smooth prices with opens and closes taken out, so that bars are half or wholly closed."""
+    return px_smooth(s, d).withColumn("open", F.expr("if(day(ts_utc) % 7 = 3, null, open)")).withColumn("close", F.expr("if(day(ts_utc) % 5 = 2, null, close)"))
+
+
+_HOLED = f"SELECT instrument_id, ts_utc, CASE WHEN day(ts_utc) % 7 <> 3 THEN open END AS open, CASE WHEN day(ts_utc) % 5 <> 2 THEN close END AS close FROM ({PX_SMOOTH_SQL})"
+_CLOSED_BOOK = _BOOK.replace(f"px AS ({PX_SMOOTH_SQL})", f"px AS ({_HOLED})")
+
+
+def _holed_book(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return broker.run_book(_holed(s, d), strategies.buy_hold(_holed(s, d)), 10.0)
+
+
+query("broker_closed_bars", f"WITH {_CLOSED_BOOK} SELECT {KEYS}, {r6(w='w', dw='dw', gap_part='gp', bar_part='br', fee_part='fe')} FROM pt")(
+    lambda s, d: _holed_book(s, d)[0].select("instrument_id", "ts_utc", "w", "dw", "gap_part", "bar_part", "fee_part")
+)
+query("equity_closed_bars", f"WITH {_CLOSED_BOOK} SELECT ts_utc, {r6(r='r', log_equity='ln(equity)', cash_weight='cash_weight')} FROM eq")(
+    lambda s, d: _holed_book(s, d)[1].select("ts_utc", "r", F.log("equity").alias("log_equity"), "cash_weight")
+)
+# targets that fall to zero every few days: a zero exits at once, inside the band and with half moves
+_PULSE = "CASE WHEN day(ts_utc) % 4 = 0 THEN 0 WHEN day(ts_utc) % 4 < 3 THEN 0.3 END"
+query(
+    "broker_zero_exit",
+    f"""WITH RECURSIVE b AS ({_HOLED}), ds AS (SELECT *, lag({_PULSE}::DOUBLE) OVER ({W}) AS g, row_number() OVER ({W}) AS rn FROM b),
+h AS (SELECT instrument_id, ts_utc, rn, 0.0::DOUBLE AS w FROM ds WHERE rn = 1 UNION ALL SELECT ds.instrument_id, ds.ts_utc, ds.rn, CASE WHEN g IS NULL OR open IS NULL THEN h.w WHEN g = 0 THEN 0 WHEN abs(g - h.w) < 0.2 - 1e-12 THEN h.w ELSE h.w + (g - h.w) / 2 END FROM h JOIN ds ON ds.instrument_id = h.instrument_id AND ds.rn = h.rn + 1)
+SELECT {KEYS}, round(w, 6) AS w FROM h""",
+)(lambda s, d: broker.banded(broker.desired(_holed(s, d), _holed(s, d).select("instrument_id", "ts_utc", F.expr(f"cast({_PULSE} as double)").alias("weight"))), flat=0.2, half=True).select("instrument_id", "ts_utc", "w"))
 query("broker_drift")(lambda s, d: broker.drifting(broker.desired(px_smooth(s, d), strategies.periodic(px_smooth(s, d), {"click": 0.5, "view": 0.3}, "week")), 10.0).select("instrument_id", "ts_utc", "w0", "w", "dw"))
 query(
     "sip_drawdown",

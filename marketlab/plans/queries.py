@@ -180,8 +180,8 @@ indicator(
     "ta_aroon",
     ta.aroon,
     ["aroon_up", "aroon_down"],
-    f"""SELECT {KEYS}, round(CASE WHEN len(h) = 25 THEN 100.0 * (25 - (25 - list_last_index(h, list_max(h)))) / 25 END, 6) AS aroon_up, round(CASE WHEN len(h) = 25 THEN 100.0 * (25 - (25 - list_last_index(l, list_min(l)))) / 25 END, 6) AS aroon_down
-FROM (SELECT {KEYS}, list(high) OVER f AS h, list(low) OVER f AS l FROM bars WINDOW f AS ({W} ROWS BETWEEN 24 PRECEDING AND CURRENT ROW))""".replace("list_last_index(h, list_max(h))", "(26 - list_position(list_reverse(h), list_max(h)))").replace("list_last_index(l, list_min(l))", "(26 - list_position(list_reverse(l), list_min(l)))"),
+    f"""SELECT {KEYS}, round(CASE WHEN len(h) = 25 THEN 100.0 * (26 - list_position(list_reverse(h), list_max(h))) / 25 END, 6) AS aroon_up, round(CASE WHEN len(h) = 25 THEN 100.0 * (26 - list_position(list_reverse(l), list_min(l))) / 25 END, 6) AS aroon_down
+FROM (SELECT {KEYS}, list(high) OVER f AS h, list(low) OVER f AS l FROM bars WINDOW f AS ({W} ROWS BETWEEN 24 PRECEDING AND CURRENT ROW))""",
 )
 indicator(
     "ta_stoch",
@@ -409,7 +409,7 @@ def _flagged(b: DataFrame) -> DataFrame:
 
 
 _SPIKES = f"""rg AS (SELECT {KEYS}, high - low AS r, count(*) OVER (PARTITION BY instrument_id) AS n, count(*) OVER f AS k, median(high - low) OVER f AS m FROM b WINDOW f AS ({W} ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)),
-spk AS (SELECT instrument_id, ts_utc, 'spike' AS kind FROM rg WHERE n >= 21 AND k >= 5 AND r > 8 * m)"""
+spk AS (SELECT instrument_id, ts_utc, 'spike' AS kind FROM rg WHERE n >= 21 AND k >= 5 AND m > 0 AND r > 8 * m)"""
 query("spike_flags", f"WITH b AS ({HOUR}), {_SPIKES} SELECT * FROM spk")(lambda s, d: inspect.spikes(bars(s, d)))
 query(
     "find_problems",
@@ -477,7 +477,8 @@ query(
 _BOOK = f"""px AS ({PX_SMOOTH_SQL}), tg AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY ts_utc) AS weight FROM px), ds AS (SELECT *, lag(weight) OVER ({W}) AS desired FROM tg),
 hw AS (SELECT *, coalesce(last_value(CASE WHEN open IS NOT NULL THEN desired END IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS w, last_value(close IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM ds),
 pv AS (SELECT *, lag(c) OVER ({W}) AS p, coalesce(lag(w) OVER ({W}), 0) AS w0 FROM hw),
-pt AS (SELECT *, w - w0 AS dw, w0 * CASE WHEN open <> 0 AND p <> 0 THEN open / p - 1 ELSE 0 END AS gp, w * CASE WHEN open <> 0 AND close IS NOT NULL THEN close / open - 1 WHEN open IS NULL AND close IS NOT NULL AND p <> 0 THEN close / p - 1 ELSE 0 END AS br, abs(w - w0) * 10 / 10000 AS fe FROM pv),
+tr AS (SELECT *, open IS NOT NULL AND close IS NOT NULL AS traded FROM pv),
+pt AS (SELECT *, CASE WHEN traded THEN w - w0 ELSE 0 END AS dw, CASE WHEN traded AND abs(p) >= 1e-12 THEN w0 * (open / p - 1) ELSE 0 END AS gp, CASE WHEN traded AND abs(open) >= 1e-12 THEN w * (close / open - 1) ELSE 0 END AS br, CASE WHEN traded THEN abs(w - w0) * 10 / 10000 ELSE 0 END AS fe FROM tr),
 bk AS (SELECT ts_utc, sum(gp) AS gap, sum(br) AS bar, sum(fe) AS fee, sum(abs(dw)) AS turnover, sum(abs(w)) AS gross FROM pt GROUP BY 1),
 rr AS (SELECT *, (1 + gap) * (1 + bar - fee) - 1 AS r FROM bk), eq AS (SELECT *, product(1 + r) OVER (ORDER BY ts_utc ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS equity, greatest(0, 1 - gross) AS cash_weight FROM rr)"""
 

@@ -7,7 +7,7 @@ import pytest
 from marketlab.functions import indicators as ta
 from marketlab.functions import recurrences as rec
 from marketlab.functions import windows as wf
-from marketlab.operators import broker, calendar, intervals, metrics, normalize, resample, strategies
+from marketlab.operators import broker, calendar, inspect, intervals, metrics, normalize, resample, strategies
 from marketlab.schema import downsample_target
 from pyspark.sql import functions as F
 
@@ -74,6 +74,61 @@ def test_band_steps():
     assert out == [0, 0.5, 0.5, 0.5, 0.5]
 
 
+def test_zero_exits_at_once():
+    held, out = 0.0, []
+    for t in (1.0, 1.0, 0.0, 0.01):
+        held = broker.band_step(held, t, 1.0, 0.05, 0, 0, True)
+        out.append(float(held))
+    assert out == [0.5, 0.75, 0, 0]
+
+
+def test_closed_bars_return_and_pay_nothing(spark):
+    t0 = datetime(2024, 1, 1)
+    rows = [("A", t0 + timedelta(days=i), o, c, w) for i, (o, c, w) in enumerate([(10.0, 10.0, 1.0), (None, 12.0, 0.5), (11.0, None, 0.2), (11.0, 11.0, 0.2)])]
+    df = spark.createDataFrame(rows, "instrument_id string, ts_utc timestamp, open double, close double, weight double")
+    got = broker.run_book(df.drop("weight"), df.select("instrument_id", "ts_utc", "weight"), 50.0)[0].orderBy("ts_utc").collect()
+    assert [(r.w, r.dw, r.gap_part, r.bar_part, r.fee_part) for r in got[:3]] == [(0, 0, 0, 0, 0)] * 2 + [(0.5, 0, 0, 0, 0)]
+    assert got[3].dw == pytest.approx(-0.3) and got[3].gap_part == pytest.approx(0.5 * (11 / 12 - 1)) and got[3].fee_part == pytest.approx(0.3 * 50 / 1e4)
+
+
+def test_books_run_side_by_side(spark):
+    df = panel(spark, [1.0, 2, 4])
+    target = df.select("instrument_id", "ts_utc", F.lit(0.5).alias("weight"))
+    both = [df.withColumn("run_id", F.lit(r)) for r in "ab"]
+    aims = [target.withColumn("weight", F.lit(w)).withColumn("run_id", F.lit(r)) for r, w in (("a", 0.5), ("b", 1.0))]
+    rows, curve = broker.run_book(both[0].unionByName(both[1]), aims[0].unionByName(aims[1]), 10.0)
+    for r, w in (("a", 0.5), ("b", 1.0)):
+        alone = broker.run_book(df, target.withColumn("weight", F.lit(w)), 10.0)[1].orderBy("ts_utc").collect()
+        mine = curve.where(F.col("run_id") == r).orderBy("ts_utc").collect()
+        assert [(x.ts_utc, x.equity, x.gross) for x in mine] == [(x.ts_utc, x.equity, x.gross) for x in alone]
+    assert broker.fills(rows, curve, 10.0).groupBy("run_id").count().count() == 2
+    banded = broker.banded(broker.desired(both[0].unionByName(both[1]), aims[0].unionByName(aims[1])))
+    assert {(r.run_id, r.w) for r in banded.collect()} == {("a", 0.0), ("a", 0.5), ("b", 0.0), ("b", 1.0)}
+
+
+def test_last_short_bar_of_a_session_is_expected(spark):
+    window = spark.createDataFrame([("A", datetime(2024, 1, 3, 14, 30), datetime(2024, 1, 3, 21)), ("B", datetime(2024, 1, 3), datetime(2024, 1, 3))], "instrument_id string, start_utc timestamp, end_utc timestamp")
+    assert [r.ts_utc.hour for r in inspect.expected_opens(window, 60).orderBy("ts_utc").collect()] == [14, 15, 16, 17, 18, 19, 20]
+
+
+def test_spikes_need_a_median_above_zero(spark):
+    flat = panel(spark, [1.0] * 30).withColumn("high", F.col("close")).withColumn("low", F.col("close"))
+    moved = flat.withColumn("high", F.when(F.dayofmonth("ts_utc") > 25, F.col("close") + 1).otherwise(F.col("high")))
+    assert inspect.spikes(moved).count() == 0
+    wide = flat.withColumn("high", F.col("close") + F.when(F.dayofmonth("ts_utc") == 15, 9.0).otherwise(1.0))
+    assert [r.ts_utc.day for r in inspect.spikes(wide).collect()] == [15]
+
+
+def test_signals_follow_the_adjusted_close(spark):
+    df = panel(spark, [100.0, 100, 100, 70, 80, 120]).withColumn("adj_close", F.col("close"))
+    same = strategies.guard(df, "A", 3, 2, {"A": 0.7}, {"A": 0.0})
+    split = df.withColumn("close", F.when(F.dayofmonth("ts_utc") < 3, F.col("close") * 10).otherwise(F.col("close")))
+    assert values(strategies.guard(split, "A", 3, 2, {"A": 0.7}, {"A": 0.0}), "weight") == values(same, "weight") == [0.7, 0.7, 0.7, 0, 0.7, 0.7]
+    # a missing price leaves the means over it unknown
+    holed = df.withColumn("close", F.when(F.dayofmonth("ts_utc") != 3, F.col("close"))).withColumn("adj_close", F.col("close"))
+    assert values(strategies.guard(holed, "A", 3, 2, {"A": 0.7}, {"A": 0.0}), "weight") == [0.7, 0.7, 0.7, 0.7, 0, 0.7]
+
+
 def test_fee_and_drawdown(spark):
     df = panel(spark, [1.0, 1, 1])
     target = df.select("instrument_id", "ts_utc", F.lit(0.5).alias("weight"))
@@ -111,6 +166,8 @@ def test_glitch_repair(spark):
     got = df.orderBy("ts_utc").collect()
     assert [round(r.close, 6) for r in got][8:10] == [130, 131]
     assert got[8].volume == pytest.approx(10)
+    adjusted = normalize.repair_levels(panel(spark, [130.0] * 8 + [13.0] + [129.0] * 8).withColumn("adj_close", F.col("close") / 2))
+    assert [round(r.adj_close, 6) for r in adjusted.orderBy("ts_utc").collect()][8] == 65
     split = values(normalize.repair_levels(panel(spark, [130.0] * 9 + [13.0] * 9)), "close")
     assert split == [130.0] * 9 + [13.0] * 9
 
