@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import argparse
 import json
+import re
 import sys
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
-from zoneinfo import ZoneInfo
+from functools import reduce
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlab.errors import MarketError, NotCovered, ZoneError
 from marketlab.operators import broker, metrics, strategies, trend
 from marketlab.operators.resample import resample
 from marketlab.operators.store import Store
@@ -21,8 +24,8 @@ from marketlab.schema import TIMEFRAMES
 MOST_ROWS = 100_000
 
 
-class UserError(ValueError):
-    """What the caller can put right; the command line answers it with exit code 2."""
+#: What the caller can put right; the command line answers it with exit code 2.
+UserError = MarketError
 
 
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {
@@ -38,6 +41,41 @@ STRATEGIES: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+#: Stamps that a strategy needs before its signals count, from its parameters; 0 where none is named.
+READY: dict[str, Callable[[dict], int]] = {
+    "sma_cross": lambda p: int(p["slow"]),
+    "clustered_trend": lambda p: max(int(p.get("window", 252)), 21 * max(p.get("months") or (12,))),
+}
+
+
+def ready_bars(run: Run, sessions: int = 0) -> int:
+    """Stamps to leave out before a run is scored; ``sessions`` is the number of sessions in the history that winners rank on."""
+    if run.strategy in ("year_winner", "quarter_winner", "cap_mix"):
+        return sessions
+    return READY.get(run.strategy, lambda _: 0)(run.params)
+
+
+#: Zone abbreviations that name several zones or none, and so are no display zones.
+ABBREVIATIONS = frozenset(
+    "IST EST EDT PST PDT CST CDT MST MDT GMT BST CET CEST EET EEST WET WEST JST KST HKT SGT AEST AEDT AKST AKDT HST AST ADT NST NDT IDT NZST NZDT MSK WIB WITA WIT".split()
+)
+
+
+def display_zone(name: str | None) -> ZoneInfo | None:
+    """The zone of an IANA name, None for no name; abbreviations, fixed offsets and unknown names are errors."""
+    text = (name or "").strip()
+    if not text:
+        return None
+    if text.upper() in ABBREVIATIONS:
+        raise ZoneError(f"{text} stands for several zones or for none: give an IANA name")
+    if re.fullmatch(r"(?i)(utc|gmt)?[+-][0-9]{1,2}(:?[0-9]{2})?", text.replace(" ", "")):
+        raise ZoneError(f"{text} is an offset: give an IANA name")
+    try:
+        return ZoneInfo(text)
+    except (ZoneInfoNotFoundError, ValueError) as e:
+        raise ZoneError(f"no zone is called {text}") from e
+
+
 def register(name: str):
     """Decorator that adds a strategy: panel and parameters to (instrument_id, ts_utc, weight)."""
 
@@ -58,7 +96,7 @@ def instant(text: str, zone: str = "UTC", end: bool = False) -> datetime:
         raise UserError(f"no date or time: {text!r}") from e
     if end and len(text) == 10:
         at += timedelta(days=1)
-    return (at if at.tzinfo else at.replace(tzinfo=ZoneInfo(zone))).astimezone(timezone.utc).replace(tzinfo=None)
+    return (at if at.tzinfo else at.replace(tzinfo=display_zone(zone) or ZoneInfo("UTC"))).astimezone(timezone.utc).replace(tzinfo=None)
 
 
 @dataclass(frozen=True)
@@ -99,24 +137,59 @@ class Spec:
         return Spec(raw["name"], raw["timeframe"], instant(str(raw["from"])), instant(str(raw["to"]), end=True), tuple(raw["universe"]), runs, float(raw.get("fee_bps", 0)), float(raw.get("band", 0)))
 
 
+def book_of(panel: DataFrame, spec: Spec, run: Run) -> tuple[DataFrame, DataFrame]:
+    """(fills, equity curve) of one run, with run_id."""
+    rows = broker.desired(panel, STRATEGIES[run.strategy](panel, **run.params))
+    rows = broker.drifting(rows, spec.fee_bps, flat=spec.band) if run.drift else broker.banded(rows, flat=spec.band) if spec.band else broker.constant_mix(rows)
+    rows = broker.with_returns(rows, spec.fee_bps)
+    curve = broker.equity(broker.portfolio(rows))
+    return broker.fills(rows, curve, spec.fee_bps).withColumn("run_id", F.lit(run.id)), curve.withColumn("run_id", F.lit(run.id))
+
+
 def run_spec(panel: DataFrame, spec: Spec) -> DataFrame:
     """Equity curves of all runs, with run_id: one lazy plan, no loop over rows."""
-    out = None
+    return reduce(DataFrame.unionByName, (book_of(panel, spec, run)[1] for run in spec.runs))
+
+
+def compare(panel: DataFrame, spec: Spec, sessions: int = 0) -> list[dict]:
+    """Scores of all runs over the stamps at which the slowest is ready, in the order of the runs; with trades, and where a run is buy_hold its return as the others' baseline."""
+    ready = {run.id: ready_bars(run, sessions) for run in spec.runs}
+    most = max(ready.values())
+    stamps = panel.select("ts_utc").distinct().orderBy("ts_utc").limit(most + 1).agg(F.max("ts_utc").alias("at"), F.count("*").alias("n")).first()
+    if stamps.n <= most:
+        raise MarketError(f"the panel has {stamps.n} stamps, and {most} go by before the runs are ready")
+    out = []
     for run in spec.runs:
-        rows = broker.desired(panel, STRATEGIES[run.strategy](panel, **run.params))
-        rows = broker.drifting(rows, spec.fee_bps, flat=spec.band) if run.drift else broker.banded(rows, flat=spec.band) if spec.band else broker.constant_mix(rows)
-        curve = broker.equity(broker.portfolio(broker.with_returns(rows, spec.fee_bps))).withColumn("run_id", F.lit(run.id))
-        out = curve if out is None else out.unionByName(curve)
+        fills, curve = (x.where(F.col("ts_utc") >= F.lit(stamps.at)) for x in book_of(panel, spec, run))
+        plan = metrics.sip(curve).agg(F.max_by("contributed", "ts_utc").alias("sip_contributed"), F.max_by("wealth", "ts_utc").alias("sip_value"), F.min("sip_drawdown").alias("sip_max_drawdown"))
+        row = {"run_id": run.id, "strategy": run.strategy, "ready_bars": ready[run.id], "start_ts": stamps.at, "trades": fills.count()}
+        out.append(row | metrics.metrics(curve).first().asDict() | metrics.excess(curve).first().asDict() | plan.first().asDict())
+        out[-1]["sip_cagr"] = metrics.sip_rate(metrics.sip(curve)).first()[0]
+    base = next((r["total_return"] for r in out if r["strategy"] == "buy_hold"), None)
+    for r in out:
+        r["baseline_return"], r["excess_return"] = base, None if base is None else r["total_return"] - base
     return out
 
 
+#: Columns of the text table: heading, key, width, decimals.
+SCORES = (("return", "total_return", 10, 4), ("cagr", "cagr", 10, 4), ("maxdd", "max_drawdown", 10, 4), ("trades", "trades", 7, 0), ("win", "win_rate", 8, 4), ("turnover", "turnover", 9, 4), ("sip", "sip_value", 12, 2), ("paid", "sip_contributed", 10, 2), ("sipirr", "sip_cagr", 10, 4), ("excess", "excess_return", 10, 4))
+
+
+def score_table(scores: list[dict]) -> str:
+    """Scores as lines of text; what is not known stands as n/a."""
+    lines = [f"{'run':<12} {'strategy':<14}" + "".join(f" {h:>{w}}" for h, _, w, _ in SCORES)]
+    for r in scores:
+        lines.append(f"{r['run_id']:<12} {r['strategy']:<14}" + "".join(f" {'n/a':>{w}}" if r.get(k) is None else f" {r[k]:>{w}.{d}f}" for _, k, w, d in SCORES))
+    return "\n".join(lines)
+
+
 def stored_panel(store: Store, spec: Spec) -> DataFrame:
     """Bars of the spec's names; names without any are an error."""
     rows = store.bars().where(F.col("instrument_id").isin(*spec.universe) & (F.col("timeframe") == spec.timeframe) & F.col("ts_utc").between(F.lit(spec.start), F.lit(spec.end)))
     have = {r[0] for r in rows.select("instrument_id").distinct().collect()}
     lacking = [x for x in spec.universe if x not in have]
     if lacking:
-        raise UserError(f"no {spec.timeframe} bars of {', '.join(lacking)}")
+        raise NotCovered(f"no {spec.timeframe} bars of {', '.join(lacking)}")
     return rows
 
 
@@ -148,7 +221,9 @@ def main(argv: list[str] | None = None) -> int:
     read.add_argument("--zone", default="UTC")
     commands.add_parser("coverage").add_argument("instrument_id", nargs="?")
     commands.add_parser("strategies")
-    commands.add_parser("run").add_argument("spec")
+    run = commands.add_parser("run")
+    run.add_argument("spec")
+    run.add_argument("--table", action="store_true")
     args = parser.parse_args(argv)
     try:
         if args.command == "strategies":
@@ -163,8 +238,10 @@ def main(argv: list[str] | None = None) -> int:
             else:
                 with open(args.spec) as f:
                     spec = Spec.parse(json.load(f))
-                curves = run_spec(stored_panel(store, spec), spec)
-                answer = {r.id: metrics.metrics(curves.where(F.col("run_id") == r.id)).first().asDict() for r in spec.runs}
+                answer = {r["run_id"]: r for r in compare(stored_panel(store, spec), spec)}
+                if args.table:
+                    print(score_table(list(answer.values())))
+                    return 0
     except UserError as e:
         print(f"error: {e}", file=sys.stderr)
         return 2

@@ -1,7 +1,7 @@
 """Exchange calendars as a dimension table, decision grids and period ends.
 
 Sessions come from rules: weekdays less the venue's holidays.  The New York list has the exchange's regular
-full-day holidays by rule; one-off closures and the Indian list are given to ``sessions`` as data.
+full-day holidays and its early closes by rule, and its one-off closures since 1990; the Indian list is given to ``sessions`` as data.
 """
 
 from __future__ import annotations
@@ -46,10 +46,24 @@ def nyse_holidays(year: int) -> set[date]:
     return out
 
 
+#: One-off full-day closures of the New York exchange since 1990.
+CLOSURES = (
+    date(1994, 4, 27), date(2001, 9, 11), date(2001, 9, 12), date(2001, 9, 13), date(2001, 9, 14), date(2004, 6, 11),
+    date(2007, 1, 2), date(2012, 10, 29), date(2012, 10, 30), date(2018, 12, 5), date(2025, 1, 9),
+)
+
+
+def nyse_early_closes(year: int) -> set[date]:
+    """Sessions that end at 13:00: the day after Thanksgiving, 24 December, and 3 July, where these are sessions (3 July from Monday to Thursday, and Christmas Eve not on Friday)."""
+    out = {nth_weekday(year, 11, 3, 4) + timedelta(1)}
+    out |= {d for d in (date(year, 7, 3), date(year, 12, 24)) if d.weekday() < 4}
+    return out - nyse_holidays(year)
+
+
 def sessions(spark: SparkSession, first: date, last: date, holidays: set[date] | None = None) -> DataFrame:
     """session_date of every weekday that is no holiday; the default list is New York's."""
     if holidays is None:
-        holidays = set().union(*(nyse_holidays(y) for y in range(first.year, last.year + 1)))
+        holidays = set().union(CLOSURES, *(nyse_holidays(y) for y in range(first.year, last.year + 1)))
     days = spark.sql(f"SELECT explode(sequence(DATE'{first}', DATE'{last}')) AS session_date").where(F.weekday("session_date") < 5)
     off = spark.createDataFrame([(d,) for d in sorted(holidays)], "session_date date") if holidays else None
     return days.join(F.broadcast(off), "session_date", "left_anti") if off is not None else days
@@ -68,6 +82,16 @@ def nyse_grid(days: DataFrame) -> DataFrame:
     return decision_grid(days, "America/New_York", "09:30", "16:00")
 
 
+def nyse_hours(days: DataFrame, first: int, last: int) -> DataFrame:
+    """exchange, session_date, open_utc and close_utc of New York sessions in the years from first to last; early closes are at 13:00."""
+    early = sorted(set().union(*(nyse_early_closes(y) for y in range(first, last + 1))))
+    whole, short = (decision_grid(days, "America/New_York", "09:30", c) for c in ("16:00", "13:00"))
+    # bounded: three dates a year
+    is_early = F.col("session_date").isin(early)
+    both = whole.where(~is_early).unionByName(short.where(is_early))
+    return both.select(F.lit("XNYS").alias("exchange"), "session_date", "open_utc", F.col("decision_ts").alias("close_utc"))
+
+
 def nse_grid(days: DataFrame) -> DataFrame:
     return decision_grid(days, "Asia/Kolkata", "09:15", "15:30")
 

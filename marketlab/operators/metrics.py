@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlab.functions.windows import safe_div
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a over b, 0 where b is 0 or unknown."""
+    return F.coalesce(safe_div(a, b), F.lit(0.0))
+
+
 def drawdown(curve: DataFrame) -> DataFrame:
     w = Window.partitionBy(F.lit(0)).orderBy("ts_utc").rowsBetween(Window.unboundedPreceding, 0)
     return curve.withColumn("drawdown", F.col("equity") / F.max("equity").over(w) - 1)
@@ -19,7 +24,7 @@ def calendar_years(curve: DataFrame) -> DataFrame:
 
 
 def metrics(curve: DataFrame) -> DataFrame:
-    """One row.  The first row's equity is the base of the total return, while its r counts in means, risk and win rate."""
+    """One row.  The first row's equity is the base of the total return, while its r counts in means, risk and win rate.  Ratios without risk, and risk of one row, are 0."""
     rows = drawdown(curve)
     out = rows.agg(
         F.count("*").alias("n"), F.min_by("equity", "ts_utc").alias("e0"), F.max_by("equity", "ts_utc").alias("e1"), F.min("drawdown").alias("max_drawdown"),
@@ -29,9 +34,10 @@ def metrics(curve: DataFrame) -> DataFrame:
     )
     years = F.when(F.col("days") > 0, F.col("days")).otherwise(1.0) / 365.25
     out = out.withColumn("years", years).withColumn("total_return", F.col("e1") / F.col("e0") - 1)
+    out = out.withColumn("sd", F.coalesce("sd", F.lit(0.0)))
     out = out.withColumn("cagr", F.pow(F.col("total_return") + 1, F.lit(1.0) / F.col("years")) - 1).withColumn("per_year", F.col("n") / F.col("years"))
-    out = out.withColumn("ann_vol", F.col("sd") * F.sqrt("per_year")).withColumn("sharpe", safe_div(F.col("mean"), F.col("sd")) * F.sqrt("per_year"))
-    out = out.withColumn("sortino", safe_div(F.col("mean"), F.col("down")) * F.sqrt("per_year")).withColumn("calmar", safe_div(F.col("cagr"), F.abs("max_drawdown")))
+    out = out.withColumn("ann_vol", F.col("sd") * F.sqrt("per_year")).withColumn("sharpe", ratio(F.col("mean"), F.col("sd")) * F.sqrt("per_year"))
+    out = out.withColumn("sortino", ratio(F.col("mean"), F.col("down")) * F.sqrt("per_year")).withColumn("calmar", ratio(F.col("cagr"), F.abs("max_drawdown")))
     return out.withColumn("annual_turnover", F.col("turnover") / F.col("years")).drop("e0", "e1", "mean", "sd", "down", "days")
 
 
@@ -75,7 +81,7 @@ def excess(curve: DataFrame) -> DataFrame:
     over = F.col("r") - (F.coalesce("daily_tbill", F.lit(0.0)) if "daily_tbill" in curve.columns else F.lit(0.0))
     out = curve.agg(F.count("*").alias("n"), span.alias("days"), F.avg(over).alias("mean"), F.stddev_samp("r").alias("sd"), F.sqrt(F.avg(F.pow(F.least(over, F.lit(0.0)), F.lit(2)))).alias("down"))
     scale = F.sqrt(F.col("n") / (F.when(F.col("days") > 0, F.col("days")).otherwise(1.0) / 365.25))
-    out = out.select((safe_div(F.col("mean"), F.col("sd")) * scale).alias("sharpe_excess"), (safe_div(F.col("mean"), F.col("down")) * scale).alias("sortino_excess"))
+    out = out.select((ratio(F.col("mean"), F.col("sd")) * scale).alias("sharpe_excess"), (ratio(F.col("mean"), F.col("down")) * scale).alias("sortino_excess"))
     years = calendar_years(curve).agg(F.max(F.struct("ret", -F.col("year"))).alias("b"), F.min(F.struct("ret", "year")).alias("w"))
     years = years.select((-F.col("b.col2")).alias("best_year"), F.col("b.ret").alias("best_year_return"), F.col("w.year").alias("worst_year"), F.col("w.ret").alias("worst_year_return"))
     return out.join(years, F.lit(True))
@@ -108,7 +114,8 @@ def month_end_allocation(targets: DataFrame) -> DataFrame:
     stamps = targets.groupBy(F.date_trunc("month", "ts_utc").alias("month")).agg(F.max("ts_utc").alias("ts_utc"))
     known = targets.where("weight is not null").select("instrument_id", F.date_trunc("month", "ts_utc").alias("month"), "ts_utc", "weight")
     known = known.groupBy("instrument_id", "month").agg(F.max_by("weight", "ts_utc").alias("weight"))
-    grid = stamps.withColumn("__one", F.lit(1)).join(targets.select("instrument_id").distinct().withColumn("__one", F.lit(1)), "__one").drop("__one")
+    # every name at every month's end is the result; months are few, and go to the names
+    grid = targets.select("instrument_id").distinct().crossJoin(F.broadcast(stamps))
     w = Window.partitionBy("instrument_id").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
     rows = grid.join(known, ["instrument_id", "month"], "left").withColumn("weight", F.coalesce(F.last("weight", ignorenulls=True).over(w), F.lit(0.0)))
     cash = F.lit(1.0) - F.sum(F.greatest("weight", F.lit(0.0))).over(Window.partitionBy("month"))

@@ -19,12 +19,12 @@ def with_metadata(panel: DataFrame, universe: DataFrame) -> DataFrame:
 def sample_daily(daily: DataFrame, grid: DataFrame, zone: str | Column = "America/New_York") -> DataFrame:
     """Each instrument's daily bar at each session's decision time, by the venue's local date (a zone or a column of zones); a session without one has null prices.
 
-    The grid is dealt to instruments by day: every (instrument, session) is a row of the result.
+    Every (instrument, session) is a row of the result, so the grid, a row for each session, is crossed with the names on purpose and broadcast to them.
     """
     names = daily.select("instrument_id").distinct()
     own = daily.withColumn("session_date", F.to_date(F.from_utc_timestamp("ts_utc", zone))).drop("ts_utc")
-    wanted = grid.select("session_date", F.col("decision_ts").alias("ts_utc")).withColumn("__one", F.lit(1)).join(names.withColumn("__one", F.lit(1)), "__one").drop("__one")
-    return wanted.join(own, ["instrument_id", "session_date"], "left")
+    wanted = grid.select("session_date", F.col("decision_ts").alias("ts_utc"))
+    return names.crossJoin(F.broadcast(wanted)).join(own, ["instrument_id", "session_date"], "left")
 
 
 def sample_hourly(hours: DataFrame, grid: DataFrame, zone: str = "America/New_York") -> DataFrame:

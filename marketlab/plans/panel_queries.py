@@ -343,8 +343,9 @@ FROM x p JOIN x q ON p.ts_utc = q.ts_utc AND p.instrument_id < q.instrument_id W
 def _grid_panel(s: SparkSession, d: str) -> DataFrame:
     """Every name at every stamp, with null prices where it did not print, and enough volume to be live."""
     b = px_daily(s, d).withColumn("volume", F.col("volume") * 1000)
-    stamps = b.select("ts_utc").distinct().withColumn("__one", F.lit(1)).join(b.select("instrument_id").distinct().withColumn("__one", F.lit(1)), "__one").drop("__one")
-    return stamps.join(b, ["instrument_id", "ts_utc"], "left")
+    # names are few, and every name at every stamp is the panel
+    grid = b.select("ts_utc").distinct().crossJoin(F.broadcast(b.select("instrument_id").distinct()))
+    return grid.join(b, ["instrument_id", "ts_utc"], "left")
 
 
 query("prism_live")(lambda s, d: trend.signals(_grid_panel(s, d)).select("instrument_id", "ts_utc", "trend", "live", "ramp", "liq_cap"))
