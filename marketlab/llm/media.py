@@ -3,11 +3,12 @@
 ``encode`` writes 8-bit grey, RGB or RGBA samples as PNG: each row gets the filter of None, Sub and Up
 whose signed samples sum least, rows go through one zlib stream, and chunks carry their CRC-32.
 ``decode`` checks the signature, each chunk's checksum and length and the stream's size, and undoes all five filters with
-numpy.  ``dct_hash`` averages the samples to 32 x 32, takes the low 8 x 8 corner of the cosine
+numpy.  ``with_png`` gives a binary column, ``read_png`` what is in one.  ``dct_hash`` averages the samples to 32 x 32, takes the low 8 x 8 corner of the cosine
 transform and sets a bit where a term exceeds the median of the 63 without the mean.
 
 Null text counts as empty; an empty text's payload is one block of bytes 255.  Equal texts give equal
-bytes.  Rows are worked one by one, so memory follows the longest text.
+bytes; repeated rows are stored each; an empty table gives no rows; the name of a further column may be any but png.  Rows are
+worked one by one, so memory follows the longest text.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marketlab.llm.common import mapped
+from marketlab.llm.common import mapped, slices, stored
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 BLOCK = 576
@@ -88,31 +89,36 @@ def unfilter(body: np.ndarray, kinds: np.ndarray, channels: int) -> np.ndarray:
     out[plain] = body[plain]
     if (subs := np.flatnonzero(kinds == 1)).size:
         out[subs] = body[subs].reshape(subs.size, -1, channels).cumsum(1, dtype=np.uint8).reshape(subs.size, width)
-    rest = np.flatnonzero(kinds >= 2)
-    for first, run in _runs(rest, kinds):
-        above = out[first - 1] if first else zero
+    if (kinds > 4).any():
+        raise MediaError(f"filter {kinds.max()}")
+    # rows that need the row above: Up by column sums, the others along diagonals
+    for first, run in _runs(np.flatnonzero(kinds >= 2), np.where(kinds == 2, 2, 3)):
+        above, last = out[first - 1] if first else zero, first + len(run)
         if run[0] == 2:
-            out[first : first + len(run)] = body[first : first + len(run)].cumsum(0, dtype=np.uint8) + above
-            continue
-        for k in range(len(run)):
-            row, prior = body[first + k].astype(np.int16), (out[first + k - 1] if first + k else zero).astype(np.int16)
-            got = np.zeros(width, np.int16)
-            for x in range(0, width, channels):
-                left = got[x - channels : x] if x else np.zeros(channels, np.int16)
-                over, corner = prior[x : x + channels], prior[x - channels : x] if x else np.zeros(channels, np.int16)
-                if run[0] == 3:
-                    guess = (left + over) >> 1
-                elif run[0] == 4:
-                    p = left + over - corner
-                    a, b, c = abs(p - left), abs(p - over), abs(p - corner)
-                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, over, corner))
-                else:
-                    raise MediaError(f"filter {run[0]}")
-                got[x : x + channels] = (row[x : x + channels] + guess) & 255
-            out[first + k] = got
+            out[first:last] = body[first:last].cumsum(0, dtype=np.uint8) + above
+        else:
+            out[first:last] = _diagonals(body[first:last], kinds[first:last], above, channels)
     return out
 
 
+def _diagonals(body: np.ndarray, kinds: np.ndarray, above: np.ndarray, channels: int) -> np.ndarray:
+    """Rows filtered by Average or Paeth: samples on one diagonal need only earlier diagonals, so each is undone at once."""
+    height, width = len(body), body.shape[1] // channels
+    raw = body.reshape(height, width, channels).astype(np.int16)
+    out = np.zeros((height + 1, width + 1, channels), np.int16)  # a row above and a column before
+    out[0, 1:] = above.reshape(width, channels)
+    for d in range(height + width - 1):
+        r = np.arange(max(0, d - width + 1), min(height, d + 1))
+        c = d - r
+        left, over, corner = out[r + 1, c], out[r, c + 1], out[r, c]
+        p = left + over - corner
+        by_left, by_over, by_corner = abs(p - left), abs(p - over), abs(p - corner)
+        paeth = np.where((by_left <= by_over) & (by_left <= by_corner), left, np.where(by_over <= by_corner, over, corner))
+        guess = np.where((kinds[r] == 3)[:, None], (left + over) >> 1, paeth)
+        out[r + 1, c + 1] = (raw[r, c] + guess) & 255
+    return out[1:, 1:].reshape(height, -1).astype(np.uint8)
+
+
 def _runs(rows: np.ndarray, kinds: np.ndarray):
     """(first row, its kinds) of adjacent rows with one filter."""
     if rows.size:
@@ -167,22 +173,39 @@ def dct_hash(samples: np.ndarray) -> str:
     return np.packbits(bits).tobytes().hex()
 
 
-def op3_png(docs: DataFrame) -> DataFrame:
-    """Each whole text stored as PNG and read back, with digests of both and the feature of the read samples."""
+def with_png(docs: DataFrame) -> DataFrame:
+    """Columns of docs other than text, n_bytes (of the text) and png, the whole text's payload as a PNG in a binary column."""
+    names = [c for c in docs.columns if c != "text"]
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
 
     def run(batches):
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        for batch in batches:
-            rows = []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                data = payload(text)
-                media = encode(np.frombuffer(data, np.uint8).reshape(-1, WIDTH))
-                samples = decode(media)
-                back = samples.tobytes()
-                rows.append((len(text or b""), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), dct_hash(samples)))
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
-
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+        for batch in (part for whole in batches for part in slices(whole)):
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            media = [encode(np.frombuffer(payload(t), np.uint8).reshape(-1, WIDTH)) for t in texts]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(media, pa.binary())], [*names, "n_bytes", "png"])
+
+    return mapped(docs, run, f"{kinds}n_bytes long, png binary")
+
+
+def read_png(media: DataFrame, column: str = "png") -> DataFrame:
+    """Columns of media other than the binary one, and what its bytes hold: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
+    names = [c for c in media.columns if c != column]
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in media.schema if f.name != column)
+    made = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+
+    def one(data: bytes) -> tuple:
+        samples = decode(data)
+        back = samples.tobytes()
+        return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(data), hashlib.sha256(data).hexdigest(), dct_hash(samples)
+
+    def run(batches):
+        for batch in (part for whole in batches for part in slices(whole, column)):
+            cols = zip(*map(one, batch.column(column).to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *(pa.array(c, k) for c, k in zip(cols, made.values(), strict=True))], [*names, *made])
+
+    return mapped(media, run, f"{kinds}payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def op3_png(docs: DataFrame) -> DataFrame:
+    """Each whole text stored as PNG in a table and read back from it, with digests of both and the feature of the read samples."""
+    return read_png(stored(with_png(docs.select("doc_id", "text")), "png"))

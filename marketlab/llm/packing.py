@@ -5,10 +5,11 @@ remainder).  The histogram of piece lengths, at most ``CAPACITY`` numbers for an
 patterns of two to four lengths that nearly fill a sequence are enumerated, non-negative least squares fits their repeat
 counts to the histogram, the counts are rounded as far as the pieces last, and what is left is packed
 by best fit, longest first.  The plan gives each length's pieces their places by rank; ranks are counted
-within (length, salt) groups, so one very frequent length is not one task.
+within (length, salt) groups, so one very frequent length is not one task.  Pieces that fill a sequence need no rank.
 
 A null text is empty and an empty text is the end id alone.  Repeated rows are packed each.  Ties of
-rank between equal rows change no result but which of them stands where.  Other columns are not read.
+rank between equal rows change no result but which of them stands where.  Very long texts are cut, never shortened.  An empty
+table gives no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlab.llm.common import mapped, stored
+from marketlab.llm.common import mapped, slices, stored
 
 CAPACITY = 2048
-SALTS = 32
+#: Rows of one length that are ranked together, and into how many groups all rows are dealt at most beside one for each length.
+TOGETHER, GROUPS = 2_000, 100_000
 KNOWN = 600_000
 #: Enumeration: partners tried for each first length, and the most tokens a pattern may leave empty.
 PARTNERS, SLACK = 12, 24
@@ -104,7 +106,7 @@ def pieces(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         made = encoder()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = [(i, *p) for i, t in enumerate(batch.column("text").to_pylist()) for p in pieces_of(made.encode(t or ""))]
             at, *cols = zip(*rows, strict=True) if rows else ((),) * 5
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
@@ -148,8 +150,11 @@ def enumerate_patterns(hist: np.ndarray) -> np.ndarray:
     return got[(got.sum(1) <= capacity) & (got.sum(1) >= capacity - SLACK) & (got[:, 1] > 0)]
 
 
-def fit_repeats(patterns: np.ndarray, hist: np.ndarray, rounds: int = 150) -> np.ndarray:
-    """Repeat counts x >= 0 that nearly minimise |A x - hist|, by multiplicative updates."""
+def fit_repeats(patterns: np.ndarray, hist: np.ndarray, rounds: int = 150, least: float = 1e-5) -> np.ndarray:
+    """Repeat counts x >= 0 that nearly minimise |A x - hist|, by multiplicative updates, until a round lowers the residual by a share of ``least`` or less.
+
+    The residual need not be small: what no pattern takes is packed by best fit.
+    """
     if not len(patterns):
         return np.zeros(0)
     target = hist.astype(float)
@@ -157,8 +162,13 @@ def fit_repeats(patterns: np.ndarray, hist: np.ndarray, rounds: int = 150) -> np
     weight = (patterns > 0).astype(float)
     up = (target[patterns] * weight).sum(1)
     x = np.full(len(patterns), target.sum() / max(1, weight.sum()))
+    last = np.inf
     for _ in range(rounds):
         now = np.bincount(patterns.ravel(), weights=(weight * x[:, None]).ravel(), minlength=len(hist))
+        apart = float(np.linalg.norm((now - target)[1:]))
+        if last - apart <= least * apart:
+            break
+        last = apart
         x *= up / np.maximum((now[patterns] * weight).sum(1), 1e-12)
     return x
 
@@ -239,27 +249,40 @@ def places(made: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces with sequence_id and offset; parts must be a table that reads alike each time (see ``stored``)."""
-    names = parts.columns
-    salted = parts.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
+    """The pieces with sequence_id and offset; parts must be a table that reads alike each time (see ``stored``).
+
+    Pieces as long as a sequence take one each, whose number needs no rank.  The others are ranked within (length, salt) groups,
+    as many for a length as its pieces ask for.
+    """
+    spark, names = parts.sparkSession, parts.columns
+    whole = parts.where(F.col("length") == capacity).withColumn("sequence_id", F.lit(1 << 62) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    rest = parts.where(F.col("length") < capacity)
+    sizes = rest.groupBy("length").agg(F.count("*").alias("n")).toArrow()
+    hist = np.zeros(capacity + 1, np.int64)
+    hist[sizes["length"].to_numpy()] = sizes["n"].to_numpy()
+    salts = np.maximum(1, -(-hist // max(TOGETHER, int(hist.sum()) // GROUPS)))
+    dealt = spark.createDataFrame([(i, int(k)) for i, k in enumerate(salts)], "length long, __salts long")
+    salted = rest.join(F.broadcast(dealt), "length").withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("__salts"))).select(*names, "__salt")
+    first = np.cumsum(salts) - salts  # each (length, salt) group has a place in one row
     counts = salted.groupBy("length", "__salt").agg(F.count("*").alias("n")).toArrow()
-    grid = np.zeros((capacity + 1, SALTS), np.int64)
-    grid[counts["length"].to_numpy(), counts["__salt"].to_numpy()] = counts["n"].to_numpy()
-    before = np.cumsum(grid, axis=1) - grid
-    sent = parts.sparkSession.sparkContext.broadcast((places(plan(grid.sum(1))), before))
+    n = np.zeros(int(salts.sum()), np.int64)
+    n[first[counts["length"].to_numpy()] + counts["__salt"].to_numpy()] = counts["n"].to_numpy()
+    before = np.cumsum(n) - n
+    before -= np.repeat(before[first], salts)
+    sent = spark.sparkContext.broadcast((places(plan(hist)), first, before))
     order = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("__rank", F.row_number().over(order) - 1)
 
     def run(batches):
-        at, before = sent.value
+        at, first, before = sent.value
         for batch in batches:
             length, salt, rank = (batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("length", "__salt", "__rank"))
-            rank = rank + before[length, salt]
+            rank = rank + before[first[length] + salt]
             row = np.searchsorted(at["key"], (length << 44) + rank, side="right") - 1
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(at["sequence"][row] + rank - at["rank"][row]), pa.array(at["offset"][row])], [*names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
-    return mapped(ranked, run, f"{kinds}, sequence_id long, offset long")
+    return mapped(ranked, run, f"{kinds}, sequence_id long, offset long").unionByName(whole)
 
 
 def op9_packing(docs: DataFrame) -> DataFrame:

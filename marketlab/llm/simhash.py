@@ -13,7 +13,8 @@ other, which are a bounded number for each.  No list is cut and no link is lost;
 given as a spanning forest.  Components come from alternating star contraction over written tables.
 
 Null and empty texts have fingerprint zero and link like any other; documents with equal fingerprints are
-linked; repeated rows are kept; a component's name is its smallest ``doc_id`` (nulls aside).
+linked; repeated rows are kept; a component's name is its smallest ``doc_id`` (nulls aside; null where all are).  Very long
+texts are fingerprinted whole.  An empty table gives no rows.  Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,12 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlab.llm.common import mapped, stored
+from marketlab.llm.common import mapped, slices, stored
 
 BITS, BYTES = 3, 8
 SHARED = BYTES - BITS
 LONG = 256
 SEED = 42
+#: Rows that are broadcast at most (of 16 bytes or so each), and edges that one task joins at most.
+SMALL, SINGLE = 1_000_000, 250_000
+#: Parts of a vertex's edges, which are joined by vertex and part.
+SALTS = 16
 
 
 def fingerprint(text: bytes | None, words: int = 3) -> int:
@@ -66,7 +71,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             got = np.array([fingerprint(t, words) for t in batch.column("text").cast(pa.binary()).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(got.view(np.int64))], [*names, "fp"])
 
@@ -137,12 +142,18 @@ def _list_links(lists: DataFrame) -> DataFrame:
 
 
 def _split(posts: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Posted rows in lists of 2 to LONG, gathered, and the rows of longer lists."""
+    """Posted rows in lists of 2 to LONG, gathered, and the rows of longer lists; only partial counts of a list meet in one task before it is known to be short."""
     posts = stored(posts, name)
-    counts = posts.groupBy("slot", "bytes").agg(F.count("*").alias("n")).where("n > 1")
-    rows = posts.join(counts, ["slot", "bytes"])
-    lists = rows.where(F.col("n") <= LONG).groupBy("slot", "bytes").agg(F.collect_list("fp").alias("fps")).select("fps")
-    return lists, rows.where(F.col("n") > LONG).drop("n")
+    hot = stored(posts.groupBy("slot", "bytes").agg(F.count("*").alias("n")).where(F.col("n") > LONG).select("slot", "bytes"), f"{name}-hot")
+    few = hot.count()
+    if not few:
+        rest, more = posts, posts.limit(0)
+    else:
+        # a list that is long stays where its rows are: its key goes to them, not they to its key
+        hot = F.broadcast(hot) if few <= SMALL else hot
+        rest, more = posts.join(hot, ["slot", "bytes"], "left_anti"), posts.join(hot, ["slot", "bytes"], "left_semi")
+    lists = rest.groupBy("slot", "bytes").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+    return lists, more
 
 
 def _ball(fp, free: list[int], flips: int):
@@ -215,23 +226,36 @@ def _forest(edges: DataFrame) -> DataFrame:
     return mapped(edges, run, "u long, v long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and root (its component's smallest node) for every node of the edges (u, v), by alternating stars."""
+def _with_least(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """Edges (u, v) with what ``low`` has for u; a vertex's edges are dealt by salt, so that a hub is not one task."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(low.withColumn("salt", salts), ["u", "salt"]).drop("salt")
+
+
+def components(edges: DataFrame, single: int = SINGLE) -> DataFrame:
+    """node and root (its component's smallest node) for every node of the edges (u, v).
+
+    Each task joins its own edges; then alternating stars over written tables, until ``single`` edges at most are left, which one
+    task joins, or until all edges are stars.
+    """
     edges = stored(_forest(edges.select("u", "v")), "stars")
     while True:
+        if edges.count() <= single:
+            edges = stored(_forest(edges.coalesce(1)), "stars")
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _with_least(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stored(large, "large")
         # after the large star every v is below its u: the small star points u and its neighbours at the smallest
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        new = stored(small, "small")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = _with_least(large, low).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        new = stored(_forest(small), "small")
         # done when every node has one edge and points at a node that has none
-        many = new.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
-        inner = new.join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+        many = new.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+        inner = new.select("u").join(new.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
         edges = new
-        if many.isEmpty() and inner.isEmpty():
+        if many.unionByName(inner).isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

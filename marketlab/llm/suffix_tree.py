@@ -1,16 +1,16 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-A context (the last 1 to ``depth`` words) becomes a state when its relative frequency in the training
-tokens is ``min_context`` at least and its next-word counts diverge from those of its longest proper
+A context (the last 1 to ``depth`` words) becomes a state when it stands in the N training
+tokens ``min_context`` times the root of N at least and its next-word counts diverge from those of its longest proper
 suffix: the log-likelihood gain must reach ``divergence`` times ln(N).  Every suffix of a state is a
-state too.  A state's distribution gives its counts to the words seen after it with relative
-frequency ``min_pair`` at least, and all other mass, with one pseudo-count for each such word, to
+state too.  A state's distribution gives its counts to the words seen after it ``min_pair`` times the root
+of N or more, and all other mass, with one pseudo-count for each such word, to
 its suffix's distribution; the root is the word frequency with half a count added.  So every state's
 distribution sums to 1 over the vocabulary and one unknown word.
 
-Size: both thresholds are relative, so a level holds at most 1/min_context states and 1/min_pair
-next words, whatever the corpus; that is what is broadcast.  Word counts grow with the corpus:
-they stay in a table, to which the rarer words of each text are joined.
+Size: a level holds at most the root of N over ``min_context`` states and the root of N over ``min_pair`` next words, so the tree grows with the
+corpus, by half its power: four times the tokens hold up to twice the states.  That is what is broadcast.  Word counts grow with the corpus too: they stay in a
+table, to which the rarer words of each text are joined.
 
 Null text counts as empty, an empty text is its end token alone; repeated rows are scored each; an
 empty training part gives every token probability 1 (one unknown word and nothing else).
@@ -191,32 +191,33 @@ def next_words(docs: DataFrame, sent, depth: int) -> DataFrame:
     return mapped(docs.select("text"), count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, depth: int = 3, min_word: float = 1e-6, min_context: float = 1e-4, min_pair: float = 1e-6, divergence: float = 1.0) -> tuple[Tree, DataFrame]:
+def fit(docs: DataFrame, depth: int = 3, min_word: float = 0.002, min_context: float = 0.15, min_pair: float = 0.002, divergence: float = 1.0) -> tuple[Tree, DataFrame]:
     """The tree and the table of all word counts, from the column text."""
     spark = docs.sparkSession
     counts = stored(word_counts(docs), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    floor = max(1, math.ceil(min_word * n))
+    root = math.sqrt(n)
+    floor, least, pairs = max(1, math.ceil(min_word * root)), max(2, min_context * root), max(2, math.ceil(min_pair * root))
     head = counts.where(F.col("c") >= floor).toArrow()
     c = head["c"].to_numpy()
     order = np.argsort(-c, kind="stable")
     words = head["word"].to_pylist()
     tree = Tree([words[i] for i in order], c[order], n, v)
     tree.floor = floor
-    total = tree.counts[tree.counts >= max(2, min_context * n)]
+    total = tree.counts[tree.counts >= least]
     tree.first[: len(total)] = np.arange(len(total))
     suffix, end = np.zeros(len(total), np.int64), next((i for i, w in enumerate(tree.words) if w == END), -1)
     for k in range(1, depth + 1):
         if not len(total):
             break
         sent = spark.sparkContext.broadcast(tree)
-        got = next_words(docs, sent, k).where(F.col("n") >= max(2, math.ceil(min_pair * n))).toArrow()
+        got = next_words(docs, sent, k).where(F.col("n") >= pairs).toArrow()
         keys, m = got["key"].to_numpy(), got["n"].to_numpy()
         order = np.argsort(keys)
         keys, m = keys[order], m[order]
         tree.add_level(keys, m, total, suffix, divergence)
         if k < depth:
-            more = (m >= max(2, min_context * n)) & (keys % tree.size != end)
+            more = (m >= least) & (keys % tree.size != end)
             tree.contexts.append(keys[more])
             total, at, word = m[more], keys[more] // tree.size, keys[more] % tree.size
             suffix = tree.first[word] if k == 1 else tree.find(tree.contexts[k - 2], tree.suffix[k - 1][at] * tree.size + word)

@@ -15,10 +15,12 @@ sentences, the hardest of all of them added in each round.  The round with the l
 each triple, so every unit of every text is scored at once.  A text's score is the logistic, fitted
 on the labelled rows, of its highest unit's decision.
 
-Training takes at most ``max_toxic`` and ``max_clean`` labelled rows, by the order of a hash; that is its
-bound on the driver.  A sentence ends at a line's end or after . ! or ?.  A text without units
+Training takes at most ``max_toxic`` and ``max_clean`` labelled rows and ``max_bytes`` of their text, by the order of a hash; that is its
+bound on the driver.  A unit of more than ``LONG`` letters is scored by overlapping windows that cover it, of which the highest counts, as it does among a
+text's units; so texts without white space are scored to their end.  A text without units
 (null, empty, no letters) scores as the lowest unit would.  Several labels of a document: the highest counts.  Without labels of both
-classes the score is the share of class 1.  Equal texts get equal scores; other columns are not read.
+classes the score is the share of class 1.  Equal texts get equal scores; repeated rows are scored each and train once.  An empty table gives no rows.  Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterable
 from functools import cache
 
 import numpy as np
@@ -35,8 +38,12 @@ from pyspark.sql import functions as F
 
 from marketlab.llm.common import mapped, slices, split_of
 
-SPAN, DECAY, KINDS = 8, 0.7, 32
+SPAN, DECAY, KINDS = 8, 0.7, 64
+#: Longest unit that is scored as one; a longer one is scored by windows of ``WIDTH``, a new one each ``STRIDE`` letters.
+LONG, WIDTH, STRIDE = 40, 14, 5
 MAX_TOXIC, MAX_CLEAN = 1500, 3000
+#: Most bytes of text that train; texts beyond, in the order of a hash, are left out whole.
+MAX_BYTES = 64_000_000
 LANDMARKS, ROUNDS = 320, 4
 #: Costs of a witness (times the root of its texts), of a witness with a foreign letter and of a clean unit; the tie from which a unit seen in clean texts may be a witness.
 WITNESS, INSERTED, CLEAN, STRONG = 20.0, 24.0, 4.0, 4.0
@@ -47,7 +54,6 @@ LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "
 
 _spaced = re.compile(r"(?<!\S)\w(?:[ \t]\w){3,}(?!\S)")
 _run = re.compile(r"(.)\1{2,}")
-_sentence = re.compile(r"(?<=[.!?])\s+|\n")
 
 
 def _fold_table() -> dict[int, str | None]:
@@ -77,78 +83,123 @@ def unit(word: str) -> str:
     return f"{START}{letters}{STOP}" if len(letters) > 1 else ""
 
 
-def codes(units: list[str], length: int) -> np.ndarray:
-    """Letter numbers (a: 1) of units of one length; 0 and 31 are the ends."""
-    raw = np.array(units, dtype=f"U{length}").view(np.uint32).reshape(len(units), length).astype(np.int64)
-    out = np.where((raw >= 97) & (raw <= 122), raw - 96, 27 + raw % 4)
-    out[:, 0], out[:, -1] = 0, 31
-    return out
+def parts(mark: str) -> list[str]:
+    """A unit as it stands, or, when it is longer than ``LONG``, overlapping windows that cover all of it."""
+    if len(mark) <= LONG:
+        return [mark] if mark else []
+    return [mark[i : i + WIDTH] for i in range(0, len(mark) - WIDTH + STRIDE, STRIDE)]
 
 
-@cache
-def triples(length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (3, n) of the triples of a unit and their weights."""
-    at = [(i, j, k) for i in range(length) for j in range(i + 1, min(length, i + SPAN)) for k in range(j + 1, min(length, i + SPAN))]
-    if not at:
-        return np.zeros((3, 0), np.int64), np.zeros(0)
-    at = np.array(at).T
-    weight = DECAY ** (at[2] - at[0] + 1.0)
-    return at, weight / np.sqrt((weight**2).sum())
-
-
-def each_length(units: list[str]):
-    """(indices, triple numbers (units, triples), weights) for the units of each length of 3 or more."""
+def units_of(text: str | None) -> set[str]:
+    """All units of a whole text."""
+    return {p for w in words_of(text) for p in parts(unit(w))} if text else set()
+
+
+def codes(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letter numbers (a: 1; 0 and 31 are the ends; other letters by their code point, so that an alphabet's letters stay apart) of all units in a row, and the sizes."""
     sizes = np.fromiter(map(len, units), np.int64, len(units))
-    for length in np.unique(sizes[sizes >= 3]).tolist():
-        at, weight = triples(min(length, 4096))
-        mine = np.flatnonzero(sizes == length)
-        for part in range(0, len(mine), max(1, 4_000_000 // max(1, at.shape[1]))):
-            index = mine[part : part + max(1, 4_000_000 // max(1, at.shape[1]))]
-            c = codes([units[i] for i in index], length)
-            yield index, (c[:, at[0]] * KINDS + c[:, at[1]]) * KINDS + c[:, at[2]], weight
-
-
-def features(units: list[str], columns: np.ndarray) -> np.ndarray:
-    """Kernel of each unit to the landmarks; columns: (KINDS ** 3, landmarks) of the landmarks' own triples."""
-    out = np.zeros((len(units), columns.shape[1]))
-    used = np.flatnonzero(columns.any(1))
-    place = np.zeros(KINDS**3, np.int64)
-    place[used] = np.arange(1, len(used) + 1)
-    small = np.vstack([np.zeros(columns.shape[1]), columns[used]])
-    for index, numbers, weight in each_length(units):
-        for t in range(numbers.shape[1]):
-            at = place[numbers[:, t]]
-            some = np.flatnonzero(at)
-            out[index[some]] += weight[t] * small[at[some]]
+    raw = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return np.where((raw >= 97) & (raw <= 122), raw - 96, np.where(raw == ord(START), 0, np.where(raw == ord(STOP), 31, 32 + raw % 32))), sizes
+
+
+def blocks(units: list[str], letters: int = 300_000):
+    """(first, units) in parts of about so many letters, one unit at least."""
+    ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+    first = 0
+    while first < len(units):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + letters, side="right")))
+        yield first, units[first:last]
+        first = last
+
+
+@cache
+def norm(size: int) -> float:
+    """The length of a unit's vector of triples, were all of them different; 1 without triples."""
+    return sum(max(0, size - j) * (j - 1) * DECAY ** (2 * (j + 1)) for j in range(2, SPAN)) ** 0.5 or 1.0
+
+
+def triples(units: list[str]):
+    """(unit, triple number, weight) for each way to step to a second and a third letter within the span, over all units at once."""
+    c, sizes = codes(units)
+    c, of = c.astype(np.int32), np.repeat(np.arange(len(units), dtype=np.int32), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(c))  # letters from here to the unit's end
+    scale = 1 / np.array([norm(n) for n in sizes.tolist()])
+    for j in range(2, SPAN):
+        at = np.flatnonzero(left > j)
+        ends, mine, own = c[at] * KINDS**2 + c[at + j], of[at], scale[of[at]]
+        for i in range(1, j):
+            yield mine, ends + c[at + i] * KINDS, own * DECAY ** (j + 1.0)
+
+
+def own_triples(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted triple numbers that occur, the (place among them, unit) of each occurrence, and its weight."""
+    if not units:
+        return np.zeros(0, np.int64), np.zeros((2, 0), np.int64), np.zeros(0)
+    of, number, weight = (np.concatenate(x) for x in zip(*triples(units), strict=True))
+    used, at = np.unique(number, return_inverse=True)
+    return used, np.stack([at, of]), weight
+
+
+def columns_of(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted triple numbers that occur, and (numbers, units) with each unit's weight of each."""
+    used, where, weight = own_triples(units)
+    out = np.zeros((len(used), len(units)))
+    np.add.at(out, (where[0], where[1]), weight)
+    return used, out
+
+
+def kernel(units: list[str]) -> np.ndarray:
+    """The kernel of every two units, some thousand triples at a time."""
+    used, where, weight = own_triples(units)
+    out = np.zeros((len(units), len(units)))
+    for first in range(0, len(used), 4000):
+        some = (where[0] >= first) & (where[0] < first + 4000)
+        part = np.zeros((4000, len(units)))
+        np.add.at(part, (where[0][some] - first, where[1][some]), weight[some])
+        out += part.T @ part
     return out
 
 
-def own_triples(units: list[str]) -> np.ndarray:
-    """(KINDS ** 3, units): each unit's weight of each triple."""
-    out = np.zeros((KINDS**3, len(units)), np.float32)
-    for index, numbers, weight in each_length(units):
-        for t in range(numbers.shape[1]):
-            np.add.at(out, (numbers[:, t], index), weight[t])
+def features(units: list[str], used: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Kernel of each unit to the landmarks, whose own triples are ``used`` and ``columns``."""
+    out = np.zeros((len(units), columns.shape[1]), np.float32)
+    if not len(used):
+        return out
+    for first, some in blocks(units, 50_000):
+        of, number, weight = (np.concatenate(x) for x in zip(*triples(some), strict=True))
+        at = np.minimum(np.searchsorted(used, number), len(used) - 1)
+        hit = np.flatnonzero(used[at] == number)
+        hit = hit[np.argsort(of[hit], kind="stable")]
+        cuts = np.searchsorted(of[hit], np.arange(len(some) + 1))
+        for k in range(len(some)):
+            mine = hit[cuts[k] : cuts[k + 1]]
+            out[first + k] = weight[mine] @ columns[at[mine]]
     return out
 
 
 def decisions(units: list[str], folded: np.ndarray, bias: float) -> np.ndarray:
     out = np.full(len(units), bias)
-    for index, numbers, weight in each_length(units):
-        out[index] += folded[numbers] @ weight
+    for first, some in blocks(units):
+        for of, number, weight in triples(some):
+            out[first : first + len(some)] += np.bincount(of, weights=folded[number] * weight, minlength=len(some))
     return out
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Weights (the last is the bias) of the primal squared-hinge SVM by Newton steps on the active rows."""
-    z = np.hstack([x, np.ones((len(x), 1))])
-    w, reg = np.zeros(z.shape[1]), np.eye(z.shape[1])
+    """Weights (the last is the bias) of the primal squared-hinge SVM by Newton steps on the active rows, summed some thousand rows at a time."""
+    d = x.shape[1] + 1
+    w, reg = np.zeros(d), np.eye(d)
     reg[-1, -1] = 1e-6
     active = np.ones(len(y), bool)
     for _ in range(rounds):
-        part = z[active]
-        w = np.linalg.solve(reg + (part.T * cost[active]) @ part, part.T @ (cost[active] * y[active]))
-        now = y * (z @ w) < 1
+        left, right = reg.copy(), np.zeros(d)
+        for first in range(0, len(y), 2000):
+            some = first + np.flatnonzero(active[first : first + 2000])
+            part = np.hstack([x[some], np.ones((len(some), 1))])
+            left += (part.T * cost[some]) @ part
+            right += part.T @ (cost[some] * y[some])
+        w = np.linalg.solve(left, right)
+        now = y * (x @ w[:-1] + w[-1]) < 1
         if (now == active).all():
             break
         active = now
@@ -183,19 +234,21 @@ class Kernel:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.folded is None:
             return np.full(len(texts), self.share)
-        words = [words_of(t) if t else [] for t in texts]
-        distinct = list({w for x in words for w in x})
-        known = dict(zip(distinct, decisions([unit(w) for w in distinct], self.folded, self.bias).tolist(), strict=True))
+        words = [set(words_of(t)) if t else set() for t in texts]
+        distinct = {w: parts(unit(w)) for w in set().union(*words)}
+        units = list({p for x in distinct.values() for p in x})
+        score = dict(zip(units, decisions(units, self.folded, self.bias).tolist(), strict=True))
+        known = {w: max(map(score.__getitem__, x), default=self.bias) for w, x in distinct.items()}
         top = np.array([max(map(known.__getitem__, x), default=self.bias) for x in words])
         return 1 / (1 + np.exp(-np.clip(self.slope * top + self.intercept, -500, 500)))
 
 
-def train(texts: list[str], y: np.ndarray, share: float) -> Kernel:
-    """A classifier from whole labelled texts; share: that of class 1 among all labelled rows."""
+def train(texts: Iterable, y: np.ndarray, share: float) -> Kernel:
+    """A classifier from labelled texts, whole or as lists of their units; share: that of class 1 among all labelled rows."""
     if not len(y) or y.min() == y.max():
         return Kernel(share)
-    shared: dict[str, str] = {"": ""}  # one object for each distinct unit, whatever the number of texts
-    sentences = [(u, int(v)) for t, v in zip(texts, y, strict=True) for u in [sorted({shared.setdefault(x, x) for s in _sentence.split(t or "") for x in map(unit, words_of(s))} - {""})]]
+    shared: dict[str, str] = {}  # one object for each distinct unit, whatever the number of texts
+    sentences = [(sorted({shared.setdefault(x, x) for x in (t if isinstance(t, list) else units_of(t))}), int(v)) for t, v in zip(texts, y, strict=True)]
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for units, v in sentences:
         seen[v].update(units)
@@ -203,20 +256,19 @@ def train(texts: list[str], y: np.ndarray, share: float) -> Kernel:
     tie = {u: np.log((c + 0.1) / (n[1] + 1)) - np.log((seen[0][u] + 0.5) / (n[0] + 1)) + 0.3 * np.log(c) for u, c in seen[1].items() if len(u) >= 5}
     toxic = sorted(tie, key=lambda u: (-tie[u], u))[: 3 * LANDMARKS]
     marks: list[str] = []
-    own = own_triples(toxic) if toxic else np.zeros((KINDS**3, 0))
-    alike = own.T @ own
+    alike = kernel(toxic)
     chosen: list[int] = []
     for i in range(len(toxic)):
         if len(chosen) < 2 * LANDMARKS // 3 and all(alike[i, j] < 0.9 for j in chosen):
             chosen.append(i)
     marks += [toxic[i] for i in chosen]
-    del own, alike
+    del alike
     common = sorted((u for u in seen[0] if len(u) >= 4 and u not in marks), key=lambda u: (-seen[0][u], u))
     marks += common[: LANDMARKS - len(marks)]
     if not marks:
         return Kernel(share)
-    columns = own_triples(marks)
-    values, vectors = np.linalg.eigh((columns.T @ columns).astype(float) + 1e-3 * np.eye(len(marks)))
+    used, columns = columns_of(marks)
+    values, vectors = np.linalg.eigh(columns.T @ columns + 1e-3 * np.eye(len(marks)))
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
     rule = np.random.default_rng(0)
     clean = sorted(seen[0])
@@ -235,10 +287,11 @@ def train(texts: list[str], y: np.ndarray, share: float) -> Kernel:
         if not pos or not neg:
             break
         more = sorted(spread)
-        x = features([*pos, *more, *neg], columns) @ root
+        x = features([*pos, *more, *neg], used, columns) @ root.astype(np.float32)
         cost = np.concatenate([[WITNESS * np.sqrt(max(weight[u], seen[1][u])) for u in pos], np.full(len(more), INSERTED), np.full(len(neg), CLEAN)])
         w = squared_hinge(x, np.concatenate([np.ones(len(pos) + len(more)), -np.ones(len(neg))]), cost)
-        folded, bias = columns @ (root @ w[:-1]), float(w[-1])
+        folded, bias = np.zeros(KINDS**3), float(w[-1])
+        folded[used] = columns @ (root @ w[:-1])
         got = decisions(clean, folded, bias)
         chosen_clean |= set(np.argsort(-got)[:2000].tolist())
         every = sorted({u for units in toxic_texts for u in units})
@@ -254,15 +307,43 @@ def train(texts: list[str], y: np.ndarray, share: float) -> Kernel:
     return best[1] if best else Kernel(share)
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Kernel:
-    """Fit to the labelled rows of docs (doc_id and text), a bounded number of each class."""
+def with_units(docs: DataFrame) -> DataFrame:
+    """Columns of docs other than text, and units, the list of a text's distinct units."""
+    names = [c for c in docs.columns if c != "text"]
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
+
+    def run(batches):
+        for part in (x for batch in batches for x in slices(batch)):
+            units = [sorted(units_of(t)) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(units, pa.list_(pa.string()))], [*names, "units"])
+
+    return mapped(docs, run, f"{kinds}units array<string>")
+
+
+def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> Kernel:
+    """Fit to the labelled rows of docs (doc_id and text): a bounded number of each class, and of bytes, in the order of a hash."""
     known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("y"))
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
     part = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, max_toxic), (0, max_clean))]
-    rows = docs.join(F.broadcast(part[0].unionByName(part[1])), "doc_id").select("doc_id", "y", "text").distinct().orderBy("doc_id", "text").collect()
-    return train([r.text for r in rows], np.array([r.y for r in rows], int), share)
+    ids = part[0].unionByName(part[1])
+    # an identifier may stand on many rows: the bound holds for distinct texts, whose keys are chosen before any text moves
+    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "y", F.xxhash64("text", "doc_id").alias("h"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
+    keys = []
+    for y, n in ((1, max_toxic), (0, max_clean)):
+        left = max_bytes * n // max(1, max_toxic + max_clean)
+        for r in rows.where(F.col("y") == y).groupBy("doc_id", "h").agg(F.max("n").alias("n")).orderBy("h", "doc_id").limit(n).collect():
+            left -= r.n
+            if left >= 0:
+                keys.append((r.doc_id, r.h, y))
+    if not keys:
+        return Kernel(share)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(keys, f"doc_id {kind}, h long, y int"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text", "doc_id").alias("h")).join(chosen, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+    got = with_units(texts.select("h", "y", "text")).orderBy("h").toArrow()
+    return train((x.as_py() for x in got["units"]), got["y"].to_numpy().astype(int), share)
 
 
 def scored(docs: DataFrame, model: Kernel) -> DataFrame:

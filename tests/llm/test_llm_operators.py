@@ -1,5 +1,6 @@
 """The operators against brute force, round trips and edge cases."""
 
+import hashlib
 import os
 import random
 import struct
@@ -212,6 +213,12 @@ def filtered_png(samples, kind):
     return media.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
 
 
+def filtered_rows(samples, kind):
+    """Filtered rows without their filter bytes, from the PNG that ``filtered_png`` makes."""
+    stream = b"".join(body for name, body in media.chunks(filtered_png(samples, kind)) if name == b"IDAT")
+    return np.frombuffer(zlib.decompress(stream), np.uint8).reshape(len(samples), -1)[:, 1:]
+
+
 def test_png_round_trip_and_damage():
     rule = np.random.default_rng(0)
     for shape in ((12, 48), (1, 1), (5, 7, 3), (40, 33, 4)):
@@ -220,6 +227,10 @@ def test_png_round_trip_and_damage():
     samples = rule.integers(0, 256, (9, 13), dtype=np.uint8)
     for kind in range(5):
         assert (media.decode(filtered_png(samples, kind)) == samples).all()
+    kinds = np.array([4, 3, 3, 2, 4, 1, 0, 4, 2])
+    mixed = np.stack([media.decode(filtered_png(samples, 0))[i] for i in range(9)])
+    body = np.stack([filtered_rows(samples, int(k))[i] for i, k in enumerate(kinds)])
+    assert (media.unfilter(body, kinds, 1) == mixed).all()
     data = media.encode(samples)
     for at in (3, 20, 50, len(data) - 2):
         with pytest.raises(media.MediaError):
@@ -229,6 +240,29 @@ def test_png_round_trip_and_damage():
     assert len(media.payload(b"")) == 576 and len(media.payload(b"x" * 576)) == 576 and len(media.payload(b"x" * 577)) == 1152
 
 
+def test_png_columns_by_definition(spark):
+    """Every column of the query from the text alone; the binary column holds a PNG that gives the payload back."""
+    texts = [None, "", "x", "é" * 287 + "ab", "y" * 576, "z" * 577, "long " * 20_000, "x"]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, png int")
+    rows = {r.doc_id: bytes(r.png) for r in media.with_png(docs.drop("png")).collect()}
+    for r in media.op3_png(docs).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        whole = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        stored = rows[r.doc_id]
+        samples = media.decode(stored)
+        assert samples.tobytes() == whole and samples.shape == (len(whole) // 48, 48)
+        assert tuple(r) == (r.doc_id, len(raw), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), media.dct_hash(samples))
+
+
+def test_hash_by_definition():
+    """Cells averaged and the cosine transform summed by loops."""
+    samples = np.random.default_rng(4).integers(0, 256, (64, 96), dtype=np.uint8)
+    small = samples.reshape(32, 2, 32, 3).mean((1, 3))
+    term = lambda u, v: sum(small[y, x] * np.cos(np.pi * (2 * y + 1) * u / 64) * np.cos(np.pi * (2 * x + 1) * v / 64) for y in range(32) for x in range(32))
+    low = np.array([term(u, v) for u in range(8) for v in range(8)]).round(6)
+    assert media.dct_hash(samples) == f"{int(''.join('1' if x > np.median(low[1:]) else '0' for x in low), 2):016x}"
+
+
 def test_dct_hash_keeps_its_low_frequencies():
     rule = np.random.default_rng(0)
     image = np.kron(rule.integers(0, 256, (8, 8)), np.ones((12, 12))).astype(np.uint8)
@@ -242,10 +276,22 @@ PARTS = ["a", "b", " ", " ", "  ", "\n", "▁", "\t", "é", "<s>", "<|endoftext|
 
 
 def test_token_counts_equal_the_library():
-    made, rule = token_counts.PieceCounter(token_counts.vocabulary()), random.Random(3)
+    made, rule = token_counts.Pieces(token_counts.vocabulary()), random.Random(3)
     for _ in range(5000):
         text = "".join(rule.choice(PARTS) for _ in range(rule.randint(0, 14)))
-        assert made.count(text) == len(made.model.encode(text)), text
+        assert sum(made.counts(made.pre_tokens(text))) == len(made.model.encode(text)), text
+
+
+@pytest.mark.parametrize("head", [0, 5, 10**6])
+def test_token_count_rows_equal_the_library(spark, head):
+    """Every column of the query for whole texts, whether pre-tokens are found in the broadcast head, in the joined table or in both."""
+    rule = random.Random(5)
+    texts = ["".join(rule.choice(PARTS) for _ in range(rule.randint(0, 40))) for _ in range(60)] + [None, "", "a" * 30_000, "the " * 5000, "the " * 5000]
+    docs = spark.createDataFrame([(i if i else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    path = token_counts.vocabulary()
+    model = token_counts.Pieces(path).model
+    got = {r.doc_id: tuple(r)[1:] for r in token_counts.token_counts(docs, path, 4096, head).collect()}
+    assert got == {i if i else None: ((len((t or "").encode())), (n := len(model.encode(t or ""))), n > 4096) for i, t in enumerate(texts)}
 
 
 def test_ids_equal_the_library():
@@ -277,6 +323,20 @@ def test_pieces():
     assert packing.pieces_of(b"")[0][:3] == (0, 0, 1)
 
 
+def test_packing_of_frequent_lengths(spark):
+    """A length with many pieces is ranked in several groups, full pieces in none, and every place is taken once."""
+    rows = [(i, 0, 0, 700 if i % 3 else 900, i) for i in range(9000)] + [(i, 1, 700, 2048, i) for i in range(500)]
+    parts = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(5)
+    got = packing.pack(packing.stored(parts, "parts")).collect()
+    assert len(got) == len(rows) == len({(r.doc_id, r.piece) for r in got})
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by.values():
+        assert sorted(places)[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(sorted(places), sorted(places)[1:], strict=False)) and sum(n for _, n in places) <= 2048
+    assert sum(1 for p in by.values() if p == [(0, 2048)]) == 500 and len(by) <= 500 + 4500
+
+
 def test_packing_is_gapless(spark, edge):
     rows = packing.op9_packing(edge).collect()
     by = {}
@@ -306,6 +366,58 @@ def test_tree_scores(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def naive_tree_scores(train, texts, depth=3, min_context=0.15, min_pair=0.002, divergence=1.0):
+    """log10 probability of each text by the definition: dictionaries of contexts, and recursion to the longest proper suffix."""
+    rows = [["", *(t or "").lower().split(), ""] for t in train]
+    c = Counter(w for r in rows for w in r[1:])
+    n, v = sum(c.values()), len(c)
+    least, pairs = max(2, min_context * n**0.5), max(2, int(np.ceil(min_pair * n**0.5)))
+    seen = Counter(tuple(r[i - k : i + 1]) for r in rows for i in range(1, len(r)) for k in range(1, min(depth, i) + 1) if "" not in r[i - k + 1 : i])
+    following, total = {}, {(w,): x for w, x in c.items() if x >= least}
+    for k in range(1, depth + 1):
+        for key in [x for x in total if len(x) == k]:
+            following[key] = {x[-1]: m for x, m in seen.items() if x[:-1] == key and m >= pairs}
+            total.update({(*key, w): m for w, m in following[key].items() if m >= least and w and k < depth})
+
+    def p(context, w):
+        if not context:
+            return (c[w] + 0.5) / (n + 0.5 * (v + 1))
+        got, kinds = following[context], max(1, len(following[context]))
+        back = (total[context] - sum(got.values()) + kinds) / (total[context] + kinds)
+        return got.get(w, 0) / (total[context] + kinds) + back * p(context[1:], w)
+
+    gain = {x: sum(m * np.log(p(x, w) / p(x[1:], w)) for w, m in got.items()) for x, got in following.items()}
+    states = {x[i:] for x, g in gain.items() if g >= divergence * np.log(n) for i in range(len(x))}
+    out = []
+    for t in texts:
+        row = ["", *(t or "").lower().split(), ""]
+        state = lambda i: max((tuple(row[i - k : i]) for k in range(1, depth + 1) if k <= i and tuple(row[i - k : i]) in states), key=len, default=())  # noqa: E731, B023
+        out.append(sum(np.log10(p(state(i), row[i])) for i in range(1, len(row))))
+    return out, states
+
+
+def test_tree_scores_by_definition(spark):
+    rule = random.Random(7)
+    texts = [" ".join(rule.choice(["the cat sat", "the dog ran", "a cat ran off", "on the mat", "dog"]) for _ in range(rule.randint(0, 25))) for _ in range(120)]
+    texts += [None, "THE cat unseen word", "dog " * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want, states = naive_tree_scores([t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1], texts)
+    assert {len(x) for x in states} == {1, 2, 3}
+    got = {r.doc_id: r.score for r in suffix_tree.op1_suffix_tree(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want)
+
+
+def test_tree_grows_with_the_corpus(spark):
+    """More text with more different contexts gives more states and next words."""
+    rule = random.Random(3)
+    made = []
+    for words in (50, 400):
+        rows = [(" ".join(f"w{min(rule.randrange(words), rule.randrange(words))}" for _ in range(100)),) for _ in range(words)]
+        tree, _ = suffix_tree.fit(spark.createDataFrame(rows, "text string"))
+        made.append(sum(len(k) for k, _ in tree.entries))
+    assert made[1] > 3 * made[0]
+
+
 def test_tree_distributions_sum_to_one(spark):
     rule = random.Random(2)
     docs = spark.createDataFrame([(" ".join(rule.choice(["a b c", "a b d", "c c a"]) for _ in range(30)),) for _ in range(40)], "text string")
@@ -410,6 +522,59 @@ def test_op6_held_out_where_clean_texts_hold_the_same_stems():
     assert found[y[held] == 1].mean() >= 0.85 and found[y[held] == 0].mean() <= 0.04
 
 
+def test_kernel_by_definition():
+    """Triples, norms, the kernel and the folded decision against loops over all letters."""
+    units = [toxicity.unit(w) for w in ("idiot", "Stupid!", "be", "слово", "日本語文", "aab", "i.d-i0t")] + toxicity.parts(toxicity.unit("q" * 50 + "idiot"))
+    number = lambda ch: 0 if ch == toxicity.START else 31 if ch == toxicity.STOP else ord(ch) - 96 if "a" <= ch <= "z" else 32 + ord(ch) % 32
+
+    def naive(u):
+        out = Counter()
+        for i, j, k in combinations(range(len(u)), 3):
+            if k - i < toxicity.SPAN:
+                out[tuple(number(u[x]) for x in (i, j, k))] += toxicity.DECAY ** (k - i + 1)
+        size = sum(toxicity.DECAY ** (2 * (k - i + 1)) for i, j, k in combinations(range(len(u)), 3) if k - i < toxicity.SPAN) ** 0.5
+        return {t: v / (size or 1) for t, v in out.items()}
+
+    want = [naive(u) for u in units]
+    gram = [[sum(v * b.get(t, 0) for t, v in a.items()) for b in want] for a in want]
+    assert toxicity.kernel(units) == pytest.approx(np.array(gram))
+    used, columns = toxicity.columns_of(units[:3])
+    assert toxicity.features(units, used, columns) == pytest.approx(np.array(gram)[:, :3])
+    folded, w = np.zeros(toxicity.KINDS**3), np.array([0.5, -1.0, 2.0])
+    folded[used] = columns @ w
+    assert toxicity.decisions(units, folded, 0.25) == pytest.approx(np.array(gram)[:, :3] @ w + 0.25)
+    assert len({number(c) for c in "абвгдежзийклмнопрстуфхцчшщъыьэюя"}) == 32
+
+
+def test_units_are_scored_to_their_end():
+    """No letter of a unit without white space is left out: windows cover it, and the end decides as any place does."""
+    long = toxicity.unit("".join(random.Random(1).choices("bcdfghklm", k=20_000)) + "idiot")
+    got = toxicity.parts(long)
+    assert got[0].startswith(toxicity.START) and got[-1].endswith("idiot" + toxicity.STOP) and max(map(len, got)) == toxicity.WIDTH
+    assert all(long[i : i + 9] in got[min(i // toxicity.STRIDE, len(got) - 1)] for i in range(len(long) - 9))
+    folded = np.zeros(toxicity.KINDS**3)
+    folded[(9 * toxicity.KINDS + 15) * toxicity.KINDS + 20] = 5.0  # i, o, t
+    made = toxicity.Kernel(0.1, folded, -1.0, 3.0, 0.0)
+    clean, toxic = made.scores(["b" * 20 + "c" * 20 + "xyz" * 7000, "b" * 20 + "c" * 20 + "xyz" * 7000 + "idiot"])
+    assert toxic > clean
+
+
+def test_training_is_bounded_in_rows_and_bytes(spark):
+    rows = [(i, f"word{i} common text " + ("stupid" if i % 2 else "nice")) for i in range(40)] + [(1, f"another text {i} of one identifier stupid") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    seen = []
+    old, toxicity.train = toxicity.train, lambda t, y, share: seen.append((t, y)) or toxicity.Kernel(share)
+    try:
+        toxicity.fit(docs, labels, max_toxic=8, max_clean=6)
+        toxicity.fit(docs, labels, max_bytes=200)
+        toxicity.fit(docs, labels)
+    finally:
+        toxicity.train = old
+    assert [(int((y == 1).sum()), int((y == 0).sum())) for _, y in seen][0] == (8, 6)
+    assert 1 <= len(seen[1][1]) <= 8 and len(seen[2][1]) == 70
+
+
 def test_discriminant_is_the_gaussian_density():
     rule = np.random.default_rng(0)
     d = len(quality.NAMES)
