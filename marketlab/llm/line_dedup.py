@@ -1,8 +1,8 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table (key, n) sorted by key within its parts: 128-bit hashes of line keys and in how many
-documents of some batches each was found.  ``LineRuns.add`` takes a batch's counts, merge-anti-joins them
-with the keys that the runs already condemn, and adds the rest as a run of level 0; when a level
+A run is a table (key, n) bucketed and sorted by key: 128-bit hashes of line keys and in how many
+documents of some batches each was found.  ``LineRuns.add`` deals a batch's counts by key as the runs are, merge-anti-joins them
+with the keys condemned before, merges them with the runs for their totals, and adds the rest as a run of level 0; when a level
 holds ``fanout`` runs they are merged into one run of the next, where counts add up.  A key
 is condemned once its counts reach ``min_docs``.
 
@@ -12,23 +12,28 @@ never dropped.  A document counts once for a key however often it has it; repeat
 each.  Other columns pass through ``drop_lines`` unchanged.
 
 The condemned keys are broadcast to the tasks that filter only while there are ``broadcast_keys`` of them
-at most (16 bytes each); beyond, each document's own condemned keys are joined to it.
+at most (16 bytes each); beyond, each document's own condemned keys are joined to it.  Very long texts are split whole.  An
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from contextlib import contextmanager
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlab.llm.common import SPACES, mapped, remove, scratch_path, stored
+from marketlab.llm.common import SPACES, mapped, remove, scratch_path, slices, stored
 
 WHITE = SPACES.encode()
 FLUSH = 300_000
 BROADCAST_KEYS = 1_000_000
+#: Documents for each batch beyond the third, and parts that rows of one line are dealt to.
+BATCH, SALTS = 5_000_000, 16
 
 
 def line_key(line: bytes) -> bytes:
@@ -72,57 +77,103 @@ def batch_counts(docs: DataFrame, min_chars: int, batches: int) -> DataFrame:
 
 
 class LineRuns:
-    """Levels of sorted runs in the scratch folder; level 0 holds the newest."""
+    """Levels of sorted runs; level 0 holds the newest.
 
-    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 2):
+    A run is a table (key, n, total) in ``buckets`` files by key, each sorted by key, so that runs, and batches dealt the same way, are merged in
+    order, without a shuffle or a sort.  ``total`` is what all runs counted when the run was added.
+    """
+
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 2, buckets: int | None = None):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.bad: str | None = None  # the keys condemned so far, a table like a run
+        self._paths: dict[str, str] = {}
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.table(name)
+
+    def _write(self, rows: DataFrame, kind: str) -> str:
+        path = scratch_path(self.spark, kind)
+        name = f"marketlab_{kind}_{path[-32:]}"
+        rows.write.bucketBy(self.buckets, "key").sortBy("key").option("path", path).saveAsTable(name)
+        self._paths[name] = path
+        return name
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        remove(self.spark, self._paths.pop(name))
+
+    @contextmanager
+    def _in_order(self):
+        """Scans of runs tell the planner that their files are sorted."""
+        key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+        before = self.spark.conf.get(key, "false")
+        self.spark.conf.set(key, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(key, before)
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        schema = "key binary, n long"
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+    def condemned(self) -> DataFrame:
+        return self._read(self.bad).select("key") if self.bad else self.spark.createDataFrame([], "key binary")
 
     def totals(self) -> DataFrame:
         """key and n over all runs."""
-        return self._read([p for level in self.levels for p in level]).groupBy("key").agg(F.sum("n").alias("n"))
-
-    def condemned(self) -> DataFrame:
-        return self.totals().where(F.col("n") >= self.min_docs).select("key")
-
-    def _write(self, rows: DataFrame, level: int) -> None:
-        path = scratch_path(self.spark, f"run{level}")
-        rows.sortWithinPartitions("key").write.parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
+        parts = [self._read(x).select("key", "n") for level in self.levels for x in level]
+        return reduce(DataFrame.unionByName, parts, self.spark.createDataFrame([], "key binary, n long")).groupBy("key").agg(F.sum("n").alias("n"))
 
     def add(self, counts: DataFrame) -> None:
-        """A batch's (key, n): what is condemned already needs no further count; the rest is a new run."""
-        new = counts.groupBy("key").agg(F.sum("n").alias("n"))
-        if any(self.levels):
-            new = new.join(self.condemned().hint("merge"), "key", "left_anti")
-        self._write(new, 0)
-        level = 0
-        while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
-            self.compact(level)
-            level += 1
+        """A batch's (key, n): what is condemned already needs no further count; the rest is a new run, and its keys' totals tell which are condemned now."""
+        new = counts.repartition(self.buckets, "key").groupBy("key").agg(F.sum("n").alias("n"))
+        with self._in_order():
+            if self.bad:
+                new = new.join(self.condemned().hint("merge"), "key", "left_anti")
+            total = F.col("n")
+            for i, run in enumerate(x for level in self.levels for x in level):
+                new = new.join(self._read(run).select("key", F.col("n").alias(f"n{i}")).hint("merge"), "key", "left")
+                total = total + F.coalesce(f"n{i}", F.lit(0))
+            run = self._write(new.select("key", "n", total.alias("total")), "run")
+            found = self._read(run).where(F.col("total") >= self.min_docs).select("key")
+            old, self.bad = self.bad, self._write(found.unionByName(self.condemned()).repartition(self.buckets, "key"), "bad")
+            if old:
+                self._drop(old)
+            self.levels = self.levels or [[]]
+            self.levels[0].append(run)
+            level = 0
+            while len(self.levels[level]) >= self.fanout:
+                self.compact(level)
+                level += 1
 
     def compact(self, level: int) -> None:
         """Merge a level's runs into one run of the next; the old ones go."""
-        old = self.levels[level]
-        self.levels[level] = []
-        self._write(self._read(old).groupBy("key").agg(F.sum("n").alias("n")), level + 1)
-        for path in old:
-            remove(self.spark, path)
+        old, self.levels[level] = self.levels[level], []
+        both = self._read(old[0]).select("key", "n")
+        for name in old[1:]:
+            both = both.join(self._read(name).select("key", F.col("n").alias("more")).hint("merge"), "key", "full_outer").select("key", (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"))
+        made = self._write(both.select("key", "n", F.col("n").alias("total")), "run")
+        if len(self.levels) == level + 1:
+            self.levels.append([])
+        self.levels[level + 1].append(made)
+        for name in old:
+            self._drop(name)
+
+    def close(self) -> None:
+        for name in [*(x for level in self.levels for x in level), *([self.bad] if self.bad else [])]:
+            self._drop(name)
+        self.levels, self.bad = [], None
 
 
-def condemned_keys(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 3) -> DataFrame:
-    """Hashes of the line keys found in ``min_docs`` documents at least, gathered batch by batch."""
+def condemned_keys(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int | None = None) -> DataFrame:
+    """Hashes of the line keys found in ``min_docs`` documents at least, gathered batch by batch; three batches, and one more for each ``BATCH`` documents."""
+    batches = batches or 3 + min(docs.count() // BATCH, 61)
     runs = LineRuns(docs.sparkSession, min_docs)
-    counts = stored(batch_counts(docs, min_chars, batches), "lines")
+    counts = stored(batch_counts(docs, min_chars, batches), "lines", ("batch",))
     for b in range(batches):
         runs.add(counts.where(F.col("batch") == b).select("key", "n"))
-    return stored(runs.condemned(), "condemned")
+    out = stored(runs.condemned(), "condemned")
+    runs.close()
+    return out
 
 
 def split_kept(text: bytes | None, keys, min_chars: int) -> tuple[int, int, bytes]:
@@ -132,8 +183,8 @@ def split_kept(text: bytes | None, keys, min_chars: int) -> tuple[int, int, byte
     return len(lines), len(lines) - len(kept), b"\n".join(kept)
 
 
-def drop_lines(docs: DataFrame, keys: DataFrame, min_chars: int = 1, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """All columns of docs with the text left, then __lines and __dropped."""
+def _split_rows(docs: DataFrame, keys: DataFrame, min_chars: int, broadcast_keys: int, digests: bool) -> DataFrame:
+    """Columns of docs with the text left (or, in its place, the digest of it), then __lines and __dropped."""
     spark = docs.sparkSession
     names = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -146,18 +197,23 @@ def drop_lines(docs: DataFrame, keys: DataFrame, min_chars: int = 1, broadcast_k
         rows = _with_own_keys(docs, keys, min_chars)
 
     def run(batches):
-        for batch in batches:
-            at = names.index("text")
+        at = names.index("text")
+        for batch in (part for whole in batches for part in slices(whole)):
             own = [sent.value] * batch.num_rows if small else [set(x or ()) for x in batch.column("__own").to_pylist()]
             out = [split_kept(t, k, min_chars) for t, k in zip(batch.column(at).cast(pa.binary()).to_pylist(), own, strict=True)]
-            n, dropped, texts = zip(*out, strict=True) if out else ((), (), ())
+            n, dropped, texts = zip(*out, strict=True)
             cols = [batch.column(i) for i in range(len(names))]
-            cols[at] = pa.array(texts, pa.binary()).cast(pa.string())
+            cols[at] = pa.array([hashlib.sha256(t).hexdigest() for t in texts]) if digests else pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], [*names, "__lines", "__dropped"])
 
     return mapped(rows, run, f"{kinds}, __lines long, __dropped long")
 
 
+def drop_lines(docs: DataFrame, keys: DataFrame, min_chars: int = 1, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """All columns of docs with the text left, then __lines and __dropped."""
+    return _split_rows(docs, keys, min_chars, broadcast_keys, digests=False)
+
+
 def _with_own_keys(docs: DataFrame, keys: DataFrame, min_chars: int) -> DataFrame:
     """Each document with its own condemned keys, joined by a hash of the text."""
 
@@ -168,16 +224,17 @@ def _with_own_keys(docs: DataFrame, keys: DataFrame, min_chars: int) -> DataFram
             t, k = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(t, pa.binary()), pa.array(k, pa.binary())], ["__text", "key"])
 
-    lines = mapped(docs.select("text").distinct(), explode, "__text binary, key binary")
-    own = lines.join(keys, "key").groupBy("__text").agg(F.collect_set("key").alias("__own"))
+    # a line may stand in most texts: its rows are dealt by key and salt
+    lines = mapped(docs.select("text").distinct(), explode, "__text binary, key binary").withColumn("salt", F.pmod(F.xxhash64("__text"), F.lit(SALTS)).cast("int"))
+    own = lines.join(keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "salt"]).groupBy("__text").agg(F.collect_set("key").alias("__own"))
     return docs.withColumn("__text", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))).join(own, "__text", "left").drop("__text").select(*docs.columns, "__own")
 
 
 def op7_line_dedup(docs: DataFrame) -> DataFrame:
     """Counts of lines, and the digest of what is left of every whole text."""
     rows = docs.select("doc_id", "text")
-    out = drop_lines(rows, condemned_keys(rows))
-    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    out = _split_rows(rows, condemned_keys(rows), 1, BROADCAST_KEYS, digests=True)
+    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.col("text").alias("kept_sha256"))
 
 
 ORACLE = r"""

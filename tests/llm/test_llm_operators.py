@@ -91,6 +91,20 @@ def test_runs_compact(spark):
     assert [len(x) for x in runs.levels] == [0, 0, 1]
     assert {bytes(r.key)[0]: r.n for r in runs.totals().collect()} == {1: 3, 2: 3, 3: 2, 4: 3}
     assert {bytes(r.key)[0] for r in runs.condemned().collect()} == {1, 2, 4}
+    runs.close()
+    assert spark.catalog.listTables() == []
+
+
+def test_runs_merge_without_shuffle_or_sort(spark):
+    runs = line_dedup.LineRuns(spark, 3, fanout=9)
+    for k in range(3):
+        runs.add(spark.createDataFrame([(bytearray([i]), 1) for i in range(k, 20 + k)], "key binary, n long"))
+    with runs._in_order():
+        a, b = (runs._read(x).select("key", "n") for x in runs.levels[0][:2])
+        plan = a.join(b.withColumnRenamed("n", "m").hint("merge"), "key", "full_outer")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert runs.condemned().count() == 18
+    runs.close()
 
 
 def brute_fingerprint(text):
