@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlab.operators import broker, calendar, catalog, intervals, joins, metrics, normalize, panel, store, strategies, trend
-from marketlab.plans.queries import _BOOK, _COVER, _HOL, _MERGED, _book, _cover, DAY, HOUR, KEYS, W, lag, over, query, r6
+from marketlab.plans.queries import _BOOK, _COVER, _HOL, _LOCAL, _MERGED, _book, _cover, DAY, HOUR, KEYS, W, lag, over, query, r6
 from marketlab.sources import vendors
 from marketlab.sources.series import PX_DAILY_SQL, PX_SMOOTH_SQL, bars, px_daily, px_smooth
 
@@ -36,8 +36,8 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return store.prune_candidates(rows, coverage, datetime(2024, 1, 21))
 
 
-query("instrument_lookup", "SELECT c_custkey AS instrument_id, c_name AS symbol FROM customer WHERE c_custkey % 10 = 0")(
-    lambda s, d: joins.keep_latest(s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("instrument_id"), F.col("c_name").alias("symbol")), ["instrument_id"], "symbol").where("instrument_id % 10 = 0")
+query("instrument_lookup", "SELECT c_custkey AS instrument_id, c_name AS symbol FROM customer")(
+    lambda s, d: joins.keep_latest(s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("instrument_id"), F.col("c_name").alias("symbol")), ["instrument_id"], "symbol")
 )
 query("alias_lookup", "SELECT '  ' || upper(c_name) || ' ' AS alias, c_custkey AS instrument_id FROM customer")(
     lambda s, d: store.by_alias(
@@ -256,13 +256,36 @@ query(
 h AS (SELECT instrument_id, ts_utc, rn, 0.0::DOUBLE AS w FROM ds WHERE rn = 1 UNION ALL SELECT ds.instrument_id, ds.ts_utc, ds.rn, CASE WHEN g IS NULL OR open IS NULL THEN h.w WHEN g = 0 THEN 0 WHEN abs(g - h.w) < 0.2 - 1e-12 THEN h.w ELSE h.w + (g - h.w) / 2 END FROM h JOIN ds ON ds.instrument_id = h.instrument_id AND ds.rn = h.rn + 1)
 SELECT {KEYS}, round(w, 6) AS w FROM h""",
 )(lambda s, d: broker.banded(broker.desired(_holed(s, d), _holed(s, d).select("instrument_id", "ts_utc", F.expr(f"cast({_PULSE} as double)").alias("weight"))), flat=0.2, half=True).select("instrument_id", "ts_utc", "w"))
-query("broker_drift")(lambda s, d: broker.drifting(broker.desired(px_smooth(s, d), strategies.periodic(px_smooth(s, d), {"click": 0.5, "view": 0.3}, "week")), 10.0).select("instrument_id", "ts_utc", "w0", "w", "dw"))
+# state of the recursion: dollars by name, in the order of names, and cash
+query(
+    "broker_drift",
+    f"""WITH RECURSIVE px AS ({PX_SMOOTH_SQL}), st AS (SELECT ts_utc, row_number() OVER (ORDER BY ts_utc) AS t, lead(date_trunc('week', {_LOCAL})) OVER (ORDER BY ts_utc) <> date_trunc('week', {_LOCAL}) OR row_number() OVER (ORDER BY ts_utc) = 1 AS reset FROM (SELECT DISTINCT ts_utc FROM px)),
+tg AS (SELECT px.*, t, CASE WHEN reset THEN CASE instrument_id WHEN 'click' THEN 0.5 WHEN 'view' THEN 0.3 ELSE 0 END END::DOUBLE AS weight FROM px JOIN st USING (ts_utc)),
+ds AS (SELECT *, lag(weight) OVER ({W}) AS g, last_value(close IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM tg),
+nm AS (SELECT DISTINCT instrument_id FROM px), gr AS (SELECT st.t, nm.instrument_id, ds.ts_utc IS NOT NULL AS here, g, open, coalesce(CASE WHEN open IS NOT NULL AND close IS NOT NULL AND abs(p) > 1e-12 THEN open / p END, 1) AS nf, coalesce(CASE WHEN close IS NOT NULL AND abs(open) > 1e-12 THEN close / open END, 1) AS df
+FROM st CROSS JOIN nm LEFT JOIN ds ON ds.t = st.t AND ds.instrument_id = nm.instrument_id),
+ls AS (SELECT t, list(here ORDER BY instrument_id) AS here, list(CASE WHEN open IS NOT NULL THEN g END ORDER BY instrument_id) AS g, list(nf ORDER BY instrument_id) AS nf, list(df ORDER BY instrument_id) AS df FROM gr GROUP BY t),
+bk AS (SELECT 0::BIGINT AS t, [0.0::DOUBLE, 0, 0, 0, 0] AS e, [0.0::DOUBLE, 0, 0, 0, 0] AS h, [0.0::DOUBLE, 0, 0, 0, 0] AS x, 1.0::DOUBLE AS c UNION ALL
+SELECT t, e, h, list_transform(range(1, 6), lambda i: h[i] * each * df[i]), greatest(0, 1 - gross) * each FROM (SELECT *, wealth * (1 - cost * 10 / 10000) / (gross + greatest(0, 1 - gross)) AS each FROM (
+SELECT *, list_sum(h) AS gross, list_sum(list_transform(range(1, 6), lambda i: abs(h[i] - e[i]))) AS cost FROM (SELECT *, list_transform(range(1, 6), lambda i: CASE WHEN here[i] THEN coalesce(g[i], e[i]) ELSE 0 END) AS h FROM (
+SELECT ls.t, ls.here, ls.g, ls.df, list_transform(range(1, 6), lambda i: CASE WHEN here[i] THEN bk.x[i] / (list_sum(bk.x) + bk.c) ELSE 0 END) AS e, list_sum(list_transform(range(1, 6), lambda i: bk.x[i] * ls.nf[i])) + bk.c AS wealth FROM bk JOIN ls ON ls.t = bk.t + 1)))))
+SELECT gr.instrument_id, st.ts_utc, round(e[k], 6) AS w0, round(h[k], 6) AS w, round(h[k] - e[k], 6) AS dw FROM bk JOIN st USING (t) JOIN (SELECT *, row_number() OVER (PARTITION BY t ORDER BY instrument_id) AS k FROM gr) gr USING (t) WHERE gr.here""",
+)(lambda s, d: broker.drifting(broker.desired(px_smooth(s, d), strategies.periodic(px_smooth(s, d), {"click": 0.5, "view": 0.3}, "week")), 10.0).select("instrument_id", "ts_utc", "w0", "w", "dw"))
 query(
     "sip_drawdown",
     f"""WITH RECURSIVE {_BOOK}, o AS (SELECT ts_utc, r, row_number() OVER (ORDER BY ts_utc) AS rn, CASE WHEN coalesce(lag(date_trunc('month', ts_utc)) OVER (ORDER BY ts_utc) <> date_trunc('month', ts_utc), true) THEN 100.0 ELSE 0 END AS c FROM eq),
 k AS (SELECT rn, ts_utc, c::DOUBLE AS w, c::DOUBLE AS hi FROM o WHERE rn = 1 UNION ALL SELECT o.rn, o.ts_utc, k.w * (1 + o.r) + o.c, greatest(k.hi, k.w * (1 + o.r) + o.c) FROM k JOIN o ON o.rn = k.rn + 1) SELECT ts_utc, round(w / hi - 1, 6) AS sip_drawdown FROM k""",
 )(lambda s, d: metrics.sip(_book(s, d)[1]).select("ts_utc", "sip_drawdown"))
-query("sip_xirr")(lambda s, d: metrics.sip_rate(metrics.sip(_book(s, d)[1])))
+query(
+    "sip_xirr",
+    f"""WITH RECURSIVE {_BOOK}, o AS (SELECT ts_utc, r, row_number() OVER (ORDER BY ts_utc) AS rn, CASE WHEN coalesce(lag(date_trunc('month', ts_utc)) OVER (ORDER BY ts_utc) <> date_trunc('month', ts_utc), true) THEN 100.0 ELSE 0 END AS c FROM eq),
+k AS (SELECT rn, c::DOUBLE AS w FROM o WHERE rn = 1 UNION ALL SELECT o.rn, k.w * (1 + o.r) + o.c FROM k JOIN o ON o.rn = k.rn + 1),
+fl AS (SELECT ts_utc, -c::DOUBLE AS a FROM o WHERE c <> 0 UNION ALL SELECT (SELECT max(ts_utc) FROM o), (SELECT arg_max(w, rn) FROM k)),
+lf AS (SELECT list({{'a': a::DOUBLE, 'd': date_diff('second', (SELECT min(ts_utc) FROM o), ts_utc) / 86400 / 365}}) AS f FROM fl),
+bs AS (SELECT 0 AS i, -0.999999::DOUBLE AS lo, 1e9::DOUBLE AS hi UNION ALL SELECT i + 1, CASE WHEN v > 0 THEN mid ELSE lo END, CASE WHEN v > 0 THEN hi ELSE mid END FROM
+(SELECT *, list_sum(list_transform(f, lambda x: x.a / pow(1 + mid, x.d))) AS v FROM (SELECT bs.*, (lo + hi) / 2 AS mid, lf.f FROM bs, lf WHERE i < 200)))
+SELECT round((lo + hi) / 2, 6) AS xirr FROM bs WHERE i = 200""",
+)(lambda s, d: metrics.sip_rate(metrics.sip(_book(s, d)[1])))
 query("month_end_growth", f"WITH {_BOOK} SELECT date_trunc('month', ts_utc) AS month, max(ts_utc) AS ts_utc, round(ln(arg_max(equity, ts_utc)), 6) AS log_growth FROM eq GROUP BY 1")(
     lambda s, d: metrics.month_ends(_book(s, d)[1]).select("month", "ts_utc", F.log(F.col("growth") / 100).alias("log_growth"))
 )
@@ -280,10 +303,11 @@ def _runs(s: SparkSession, d: str) -> DataFrame:
     return curves[0].unionByName(curves[1])
 
 
-query("metrics_aligned", f"WITH {_BOOK}, a AS (SELECT *, row_number() OVER (ORDER BY ts_utc) AS n FROM eq) SELECT ts_utc, round(r, 6) AS r FROM a WHERE n > 5")(
-    lambda s, d: metrics.aligned(_runs(s, d), {"even": 2, "static": 5}).where("run_id = 'even'").select("ts_utc", "r")
-)
 _STATIC = _BOOK.replace("1.0 / count(*) OVER (PARTITION BY ts_utc)", "CASE instrument_id WHEN 'click' THEN 0.6 WHEN 'view' THEN 0.3 ELSE 0 END::DOUBLE")
+query(
+    "metrics_aligned",
+    " UNION ALL ".join(f"SELECT {n!r} AS run_id, ts_utc, round(r, 6) AS r FROM (WITH {book} SELECT *, row_number() OVER (ORDER BY ts_utc) AS n FROM eq) WHERE n > 5" for n, book in (("even", _BOOK), ("static", _STATIC))),
+)(lambda s, d: metrics.aligned(_runs(s, d), {"even": 2, "static": 5}).select("run_id", "ts_utc", "r"))
 query(
     "metrics_excess",
     f"WITH u AS ({' UNION ALL '.join(f'SELECT {n!r} AS run_id, (SELECT arg_max(equity, ts_utc) / arg_min(equity, ts_utc) - 1 FROM (WITH {book} SELECT * FROM eq)) AS t' for n, book in (('even', _BOOK), ('static', _STATIC)))}) SELECT run_id, round(t, 6) AS total_return, round(t - (SELECT t FROM u WHERE run_id = 'even'), 6) AS excess FROM u",
@@ -305,8 +329,23 @@ SELECT {r6(sharpe_excess='m / sd * sqrt(n / a.y)', sortino_excess='m / dn * sqrt
 
 # --- trend signals ------------------------------------------------------------------------------------------------
 
-query("prism_prepare")(lambda s, d: trend.prepared(px_daily(s, d)).select("instrument_id", "ts_utc", "px", "ret", "vol_fast", "vol_slow", "adv"))
-query("prism_vol")(lambda s, d: trend.with_yearly_vol(trend.prepared(px_daily(s, d))).select("instrument_id", "ts_utc", "vol_ann"))
+
+
+def _ewm(name: str, half_life: float) -> str:
+    """Recursive step of mean, variance and squared weights under adjust=False, of returns from the second row on."""
+    k = 0.5 ** (1 / half_life)
+    step = f"{name}.m + {1 - k!r} * (x.ret - {name}.m), {k!r} * ({name}.v + {1 - k!r} * (x.ret - {name}.m) * (x.ret - {name}.m)), {k * k!r} * {name}.s2 + {(1 - k) ** 2!r}"
+    return f"{name} AS (SELECT instrument_id, rn, ret AS m, 0.0::DOUBLE AS v, 1.0::DOUBLE AS s2 FROM x WHERE rn = 2 UNION ALL SELECT x.instrument_id, x.rn, {step} FROM {name} JOIN x ON x.instrument_id = {name}.instrument_id AND x.rn = {name}.rn + 1)"
+
+
+_PREPARED = f"""b AS ({PX_DAILY_SQL}), x AS (SELECT {KEYS}, close AS px, close / {lag('close')} - 1 AS ret, median(close * volume) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS adv, row_number() OVER ({W}) AS rn FROM b), {_ewm('ef', 10)}, {_ewm('es', 60)},
+pr AS (SELECT x.*, CASE WHEN x.rn > 2 THEN sqrt(ef.v / (1 - ef.s2)) END AS vol_fast, CASE WHEN x.rn > 2 THEN sqrt(es.v / (1 - es.s2)) END AS vol_slow FROM x LEFT JOIN ef USING (instrument_id, rn) LEFT JOIN es USING (instrument_id, rn))"""
+query("prism_prepare", f"WITH RECURSIVE {_PREPARED} SELECT {KEYS}, {r6(px='px', ret='ret', vol_fast='vol_fast', vol_slow='vol_slow', adv='adv')} FROM pr")(lambda s, d: trend.prepared(px_daily(s, d)).select("instrument_id", "ts_utc", "px", "ret", "vol_fast", "vol_slow", "adv"))
+query(
+    "prism_vol",
+    f"""WITH RECURSIVE {_PREPARED}, dn AS (SELECT *, date_diff('day', DATE '1970-01-01', ((ts_utc AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York')::DATE) AS dno FROM pr)
+SELECT {KEYS}, round(greatest(vol_fast, vol_slow) * sqrt(greatest(count(px) OVER (PARTITION BY instrument_id ORDER BY dno RANGE BETWEEN 364 PRECEDING AND CURRENT ROW), 1)), 6) AS vol_ann FROM dn""",
+)(lambda s, d: trend.with_yearly_vol(trend.prepared(px_daily(s, d))).select("instrument_id", "ts_utc", "vol_ann"))
 query(
     "prism_tsmom",
     f"""WITH b AS ({PX_DAILY_SQL}), dd AS (SELECT DISTINCT ts_utc, ((ts_utc AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York')::DATE AS y FROM b), lk AS (SELECT dd.ts_utc, m.m, max(e.ts_utc) AS f FROM dd, (VALUES (1), (3)) m(m), dd e WHERE e.y <= dd.y - to_months(m.m) GROUP BY 1, 2),

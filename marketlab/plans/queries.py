@@ -130,7 +130,7 @@ query(
 query(
     "resample_ohlcv_tz",
     f"""WITH b AS (SELECT *, (ts_utc AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Kolkata' AS l FROM ({HOUR})) SELECT instrument_id, min(ts_utc) AS ts_utc,
-  {r6(open='arg_min(open, ts_utc)', high='max(high)', low='min(low)', close='arg_max(close, ts_utc)', volume='sum(volume)')}, '1d' AS timeframe FROM b GROUP BY instrument_id, date_trunc('day', l)""",
+  {r6(open='arg_min(open, ts_utc)', high='max(high)', low='min(low)', close='arg_max(close, ts_utc)', volume='sum(volume)')}, '1d' AS timeframe, date_trunc('day', l)::TIMESTAMP AS ts_local, 330::INT AS utc_offset FROM b GROUP BY instrument_id, date_trunc('day', l)""",
 )(lambda s, d: resample.resample(bars(s, d), "1d", "Asia/Kolkata"))
 query(
     "tz_projection",
@@ -336,12 +336,13 @@ def _asof(b: DataFrame) -> DataFrame:
     return joins.asof_backward(b.where("instrument_id <> 'click'"), quotes, "ts_utc", "fx")
 
 
-_COVER = """cov AS (SELECT event_type AS instrument_id, date_trunc('hour', ts) AS start_utc, date_trunc('hour', ts) + INTERVAL 90 MINUTE AS end_utc FROM events WHERE user_id % 3 = 0 GROUP BY ALL)"""
+_COVER = """cov AS (SELECT event_type AS instrument_id, date_trunc('minute', ts) AS start_utc, date_trunc('minute', ts) + INTERVAL 20 MINUTE AS end_utc FROM events GROUP BY ALL)"""
 
 
 def _cover(s: SparkSession, d: str) -> DataFrame:
-    rows = s.read.parquet(f"{d}/events.parquet").where("user_id % 3 = 0").select(F.col("event_type").alias("instrument_id"), F.date_trunc("hour", "ts").alias("start_utc")).distinct()
-    return rows.withColumn("end_utc", F.col("start_utc") + F.expr("INTERVAL 90 MINUTE"))
+    """Twenty minutes from the minute of each event."""
+    rows = s.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("instrument_id"), F.date_trunc("minute", "ts").alias("start_utc")).distinct()
+    return rows.withColumn("end_utc", F.col("start_utc") + F.expr("INTERVAL 20 MINUTE"))
 
 
 _MERGED = f"""{_COVER}, n AS (SELECT *, CASE WHEN start_utc <= max(end_utc) OVER (PARTITION BY instrument_id ORDER BY start_utc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + INTERVAL 1 MICROSECOND THEN 0 ELSE 1 END AS fresh FROM cov),
@@ -388,13 +389,14 @@ query("missing_coverage", f"WITH {_COVER} SELECT DISTINCT event_type AS instrume
 query("coalesce_holes", f"WITH {_HOLES} SELECT instrument_id, min(start_utc) AS start_utc, max(end_utc) AS end_utc FROM holes GROUP BY 1")(
     lambda s, d: _holes(s, d).groupBy("instrument_id").agg(F.min("start_utc").alias("start_utc"), F.max("end_utc").alias("end_utc"))
 )
-_MISS = "w AS (SELECT instrument_id, unnest(generate_series(TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-09' + INTERVAL 23 HOUR, INTERVAL 1 HOUR)) AS ts_utc FROM (SELECT DISTINCT instrument_id FROM b)), miss AS (SELECT * FROM w ANTI JOIN b USING (instrument_id, ts_utc))"
+_MISS = "w AS (SELECT instrument_id, unnest(generate_series(min(ts_utc), max(ts_utc), INTERVAL 1 HOUR)) AS ts_utc FROM b GROUP BY 1), miss AS (SELECT * FROM w ANTI JOIN b USING (instrument_id, ts_utc))"
 query("gap_detect", f"WITH b AS ({HOUR}), {_MISS} SELECT * FROM miss")(lambda s, d: inspect.missing_opens(bars(s, d), _span(bars(s, d)), 60))
 query("expected_opens", f"WITH b AS ({HOUR}), {_MISS} SELECT * FROM w")(lambda s, d: inspect.expected_opens(_span(bars(s, d)), 60))
 
 
 def _span(b: DataFrame) -> DataFrame:
-    return b.select("instrument_id").distinct().selectExpr("instrument_id", "TIMESTAMP '2024-01-03' AS start_utc", "TIMESTAMP '2024-01-10' AS end_utc")
+    """From each name's first bar to its last."""
+    return b.groupBy("instrument_id").agg(F.min("ts_utc").alias("start_utc"), (F.max("ts_utc") + F.expr("INTERVAL 1 HOUR")).alias("end_utc"))
 
 
 _SPANS = f"{_MISS}, sp AS (SELECT *, ts_utc - (row_number() OVER ({W})) * INTERVAL 1 HOUR AS g FROM miss), spans AS (SELECT instrument_id, min(ts_utc) AS ts_utc, max(ts_utc) + INTERVAL 1 HOUR AS end_utc, count(*) AS n_missing FROM sp GROUP BY instrument_id, g)"
@@ -418,15 +420,23 @@ query(
 
 # --- calendars ----------------------------------------------------------------------------------------------------
 
-_HOL = ", ".join(f"DATE '{x}'" for x in sorted(calendar.nyse_holidays(2024)))
+#: Full-day holidays of 2024, as the exchanges published them; the first list also tests the rules in ``calendar``.
+NYSE_2024 = ("2024-01-01", "2024-01-15", "2024-02-19", "2024-03-29", "2024-05-27", "2024-06-19", "2024-07-04", "2024-09-02", "2024-11-28", "2024-12-25")
+NSE_2024 = (
+    "2024-01-22", "2024-01-26", "2024-03-08", "2024-03-25", "2024-03-29", "2024-04-11", "2024-04-17", "2024-05-01", "2024-05-20", "2024-06-17", "2024-07-17", "2024-08-15", "2024-10-02", "2024-11-01", "2024-11-15", "2024-11-20", "2024-12-25",
+)
+_HOL, _NSE_HOL = (", ".join(f"DATE '{x}'" for x in days) for days in (NYSE_2024, NSE_2024))
 query("session_dates", f"SELECT t::DATE AS session_date FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-12-31', INTERVAL 1 DAY)) AS t) WHERE isodow(t) < 6 AND t::DATE NOT IN ({_HOL})")(
     lambda s, d: calendar.sessions(s, date(2024, 1, 1), date(2024, 12, 31))
 )
-for _name, _grid, _zone, _o, _c in (("decision_grid_nyse", calendar.nyse_grid, "America/New_York", "09:30:00", "16:00:00"), ("decision_grid_nse", calendar.nse_grid, "Asia/Kolkata", "09:15:00", "15:30:00")):
+for _name, _grid, _zone, _o, _c, _off, _days in (
+    ("decision_grid_nyse", calendar.nyse_grid, "America/New_York", "09:30:00", "16:00:00", _HOL, None),
+    ("decision_grid_nse", calendar.nse_grid, "Asia/Kolkata", "09:15:00", "15:30:00", _NSE_HOL, {date.fromisoformat(x) for x in NSE_2024}),
+):
     query(
         _name,
-        f"SELECT d AS session_date, ((d + TIME '{_o}') AT TIME ZONE '{_zone}') AT TIME ZONE 'UTC' AS open_utc, ((d + TIME '{_c}') AT TIME ZONE '{_zone}') AT TIME ZONE 'UTC' AS decision_ts FROM (SELECT t::DATE AS d FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-12-31', INTERVAL 1 DAY)) AS t) WHERE isodow(t) < 6 AND t::DATE NOT IN ({_HOL}))",
-    )(lambda s, d, g=_grid: g(calendar.sessions(s, date(2024, 1, 1), date(2024, 12, 31))))
+        f"SELECT d AS session_date, ((d + TIME '{_o}') AT TIME ZONE '{_zone}') AT TIME ZONE 'UTC' AS open_utc, ((d + TIME '{_c}') AT TIME ZONE '{_zone}') AT TIME ZONE 'UTC' AS decision_ts FROM (SELECT t::DATE AS d FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-12-31', INTERVAL 1 DAY)) AS t) WHERE isodow(t) < 6 AND t::DATE NOT IN ({_off}))",
+    )(lambda s, d, g=_grid, off=_days: g(calendar.sessions(s, date(2024, 1, 1), date(2024, 12, 31), off)))
 query("session_flags", f"WITH b AS ({DAY}) SELECT {KEYS}, instrument_id <> 'click' OR (isodow(ts_utc) < 6 AND ts_utc::DATE NOT IN ({_HOL})) AS is_session FROM b")(
     lambda s, d: calendar.session_flags(
         bars(s, d, "day").withColumn("calendar", F.expr("CASE instrument_id WHEN 'click' THEN 'NYSE' ELSE 'native_24_7' END")), s.createDataFrame([(x,) for x in sorted(calendar.nyse_holidays(2024))], "session_date date")
@@ -508,10 +518,12 @@ query(
     f"""WITH RECURSIVE {_BOOK}, o AS (SELECT ts_utc, r, row_number() OVER (ORDER BY ts_utc) AS rn, CASE WHEN coalesce(lag(date_trunc('month', ts_utc)) OVER (ORDER BY ts_utc) <> date_trunc('month', ts_utc), true) THEN 100.0 ELSE 0 END AS c FROM eq),
 k AS (SELECT rn, ts_utc, c::DOUBLE AS w, c::DOUBLE AS t FROM o WHERE rn = 1 UNION ALL SELECT o.rn, o.ts_utc, k.w * (1 + o.r) + o.c, k.t + o.c FROM k JOIN o ON o.rn = k.rn + 1) SELECT ts_utc, round(t, 6) AS contributed, round(w, 6) AS wealth FROM k""",
 )(lambda s, d: metrics.sip(_book(s, d)[1]).select("ts_utc", "contributed", "wealth"))
+#: Event types, which name the columns.
+NAMES = ("click", "error", "purchase", "signup", "view")
 query(
     "pivot_wide",
-    f"WITH b AS ({DAY}) SELECT ts_utc, {', '.join(f'round(max(close) FILTER (WHERE instrument_id = {n!r}), 6) AS {n}' for n in ('click', 'view'))} FROM b GROUP BY 1",
-)(lambda s, d: bars(s, d, "day").groupBy("ts_utc").pivot("instrument_id", ["click", "view"]).agg(F.first("close")))
+    f"WITH b AS ({DAY}) SELECT ts_utc, {', '.join(f'round(max(close) FILTER (WHERE instrument_id = {n!r}), 6) AS {n}' for n in NAMES)} FROM b GROUP BY 1",
+)(lambda s, d: bars(s, d, "day").groupBy("ts_utc").pivot("instrument_id", list(NAMES)).agg(F.first("close")))
 
 
 def equity_curve(s: SparkSession, d: str) -> DataFrame:
