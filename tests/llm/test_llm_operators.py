@@ -456,6 +456,101 @@ def test_reparameterised_questions(spark):
     assert sorted(r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()) == [2, 3]
 
 
+def naive_leaks(docs, bench):
+    """(doc_id, item_id, n_windows, matched, n_slots, n_changed) by loops over all windows of all documents and items."""
+    import regex
+
+    d = decontaminate
+
+    def read(text):
+        words = regex.findall(d.TOKEN, text or "")
+        number = lambda t: "0" <= t < ":"
+        codes = [d.NAME if t[0] == " " else d.NUMBER if number(t) else d.UNIT if t.lower() in d.UNITS and i and number(words[i - 1]) else t.lower() for i, t in enumerate(words)]
+        names = [d.NAME if t != t.lower() and len(t) > 1 and t[1:] == t.lower()[1:] else c for t, c in zip(words, codes, strict=True)]
+        return words, codes, names
+
+    def windows(codes, names, size):
+        """(window, place, whether it holds a word that may be a name and is read as one)"""
+        out = [(tuple(codes[i : i + size]), i, False) for i in range(len(codes) - size + 1)]
+        return out + [(tuple(names[i : i + size]), i, True) for i in range(len(codes) - size + 1) if names[i : i + size] != codes[i : i + size]]
+
+    out = set()
+    for item_id, item in bench:
+        ours, codes, names = read(item)
+        if not ours:
+            continue
+        size = min(len(codes), d.WINDOW)
+        known = [w for w in windows(codes, names, size) if 2 * sum(isinstance(c, str) for c in w[0]) >= size]
+        n = len(codes) - size + 1
+        least = min(d.RUN, -(-n // 2))
+        for doc_id, text in docs:
+            theirs, doc_codes, doc_names = read(text)
+            ways = {}
+            for w, pos, mine in windows(doc_codes, doc_names, size):
+                for v, cpos, other in known:
+                    if w == v:
+                        for reading in (1,) if mine or other else (0, 1):
+                            ways.setdefault(reading, {}).setdefault(pos - cpos, set()).add(cpos)
+            found = []
+            for reading, shifts in ways.items():
+                runs, last = [], None
+                for shift in sorted(shifts):
+                    if last is None or shift - last > d.NEAR:
+                        runs.append([])
+                    runs[-1].append(shift)
+                    last = shift
+                for run in runs:
+                    matched = len(set().union(*(shifts[x] for x in run)))
+                    if matched < least:
+                        continue
+                    enough = min(least, max(len(shifts[x]) for x in run))
+                    for x in run:
+                        if len(shifts[x]) >= enough:
+                            code = names if reading else codes
+                            places = [i for i in range(min(shifts[x]), max(shifts[x]) + size) if not isinstance(code[i], str)]
+                            slots = {(ours[i].strip().lower(), theirs[i + x].strip().lower()) for i in places}
+                            if len({a for a, _ in slots}) == len(slots):
+                                found.append((matched, len(shifts[x]), -reading, -x, len(slots), sum(a != b for a, b in slots)))
+            if found:
+                best = max(found)
+                out.add((doc_id, item_id, n, best[0], best[4], best[5]))
+    return out
+
+
+#: Questions with places for names, numbers and units, at starts of sentences too.
+QUESTIONS = [
+    "{n} has {a} apples and buys {b} more at the market. {n} then gives {c} apples to {m}. How many apples does {n} have left in the basket?",
+    "A train leaves the station at a speed of {a} {u} an hour and {m} follows it {b} minutes later. How far has the train gone when {m} reaches it?",
+    "In the garden of {n} there are {a} red flowers for every {b} white ones. If {n} counts {c} white flowers, how many red flowers grow there?",
+    "{n} and {m} share {a} coins so that {n} gets {b} coins more than {m}. How many coins does each of the two friends take home?",
+    "The tank holds {a} {u} of water and loses {b} of them each day. After how many days will {n} have to fill the tank again?",
+]
+
+
+def test_reparameterised_recall(spark):
+    """Questions with other numbers, names and units are found, and other questions of like words are not; every row as loops give it."""
+    rule = random.Random(12)
+    people, units = "Alice Bob Carol Dan Emma Fay George Hanna Ivan Julia".split(), ["kilometres", "miles", "km", "liters", "gallons", "cups"]
+
+    def ask(text):
+        n, m = rule.sample(people, 2)
+        return text.format(n=n, m=m, u=rule.choice(decontaminate.UNITS), a=rule.randint(2, 99), b=rule.randint(2, 99), c=rule.randint(2, 99))
+
+    filler = lambda: " ".join(rule.choice("the river ran past old stones while people walked home in rain and talked of bread".split()) for _ in range(rule.randint(5, 40)))
+    bench = [(i, ask(q)) for i, q in enumerate(QUESTIONS)]
+    docs, want = [], set()
+    for i in range(50):
+        docs.append((i, f"{filler()}. {ask(QUESTIONS[i % 5])} {filler()}"))
+        want.add((i, i % 5))
+    docs += [(50 + i, filler() + ". " + text) for i, text in enumerate(["How many apples does Ivan have left in the market?", "A train leaves the station at noon and Emma follows it later.", "Bob has 3 apples.", ""])]
+    docs.append((60, f"{bench[0][1]} {filler()} {ask(QUESTIONS[0])}"))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_windows, r.matched, r.n_slots, r.n_changed) for r in decontaminate.op5_decontaminate(*frames).collect()}
+    found = {x[:2] for x in got}
+    assert len(found & want) >= 0.9 * len(want) and found - want <= {(60, 0)}
+    assert got == naive_leaks(docs, bench)
+
+
 def test_templates_that_share_an_item_id_or_have_none(spark):
     texts = [" ".join(f"{k}{c}" for c in "qwertyuiopasdf") for k in "abcde"]
     bench = spark.createDataFrame(list(zip([1, 1, None, None, 2], texts, strict=True)), "item_id long, text string")
