@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from marketlab.errors import MarketError, NotCovered, ZoneError
 from marketlab.operators import broker, metrics, strategies, trend
+from marketlab.operators.normalize import total_return, with_adj_close
 from marketlab.operators.resample import resample
 from marketlab.operators.store import Store
-from marketlab.schema import TIMEFRAMES
+from marketlab.schema import TIMEFRAMES, downsample_target
 
 MOST_ROWS = 100_000
 
@@ -104,12 +105,12 @@ class Run:
     id: str
     strategy: str
     params: dict = field(default_factory=dict)
-    drift: bool = False
+    drift: bool | None = None  # None: as the spec has it
 
 
 @dataclass(frozen=True)
 class Spec:
-    """What to run: names, span, timeframe, runs and the no-trade band."""
+    """What to run: names, span, timeframe, runs, the no-trade band (flat, or floor and fraction; half moves), shorts, drift, the first equity and total-return prices."""
 
     name: str
     timeframe: str
@@ -119,10 +120,22 @@ class Spec:
     runs: tuple[Run, ...]
     fee_bps: float = 0.0
     band: float = 0.0
+    band_floor: float = 0.0
+    band_frac: float = 0.0
+    half_move: bool = False
+    allow_short: bool = True
+    drift: bool = False
+    initial_equity: float = 1.0
+    total_return: bool = False
+
+    @property
+    def band_rule(self) -> dict:
+        return {"flat": self.band, "floor": self.band_floor, "fraction": self.band_frac, "half": self.half_move}
 
     @staticmethod
     def parse(raw: dict) -> Spec:
-        extra = set(raw) - {"name", "timeframe", "from", "to", "universe", "runs", "fee_bps", "band"}
+        numbers, flags = ("fee_bps", "band", "band_floor", "band_frac", "initial_equity"), ("half_move", "allow_short", "drift", "total_return")
+        extra = set(raw) - {"name", "timeframe", "from", "to", "universe", "runs", *numbers, *flags}
         if extra:
             raise UserError(f"unknown keys: {', '.join(sorted(extra))}")
         lacking = {"name", "timeframe", "from", "to", "universe", "runs"} - set(raw)
@@ -134,16 +147,20 @@ class Spec:
         unknown = [r.strategy for r in runs if r.strategy not in STRATEGIES]
         if unknown or not runs or len({r.id for r in runs}) < len(runs):
             raise UserError(f"unknown strategy {unknown[0]!r}" if unknown else "runs need an id each, and one run at least")
-        return Spec(raw["name"], raw["timeframe"], instant(str(raw["from"])), instant(str(raw["to"]), end=True), tuple(raw["universe"]), runs, float(raw.get("fee_bps", 0)), float(raw.get("band", 0)))
+        return Spec(raw["name"], raw["timeframe"], instant(str(raw["from"])), instant(str(raw["to"]), end=True), tuple(raw["universe"]), runs, **{k: float(raw[k]) for k in numbers if k in raw}, **{k: bool(raw[k]) for k in flags if k in raw})
 
 
 def book_of(panel: DataFrame, spec: Spec, run: Run) -> tuple[DataFrame, DataFrame]:
-    """(fills, equity curve) of one run, with run_id."""
-    rows = broker.desired(panel, STRATEGIES[run.strategy](panel, **run.params))
-    rows = broker.drifting(rows, spec.fee_bps, flat=spec.band) if run.drift else broker.banded(rows, flat=spec.band) if spec.band else broker.constant_mix(rows)
-    rows = broker.with_returns(rows, spec.fee_bps)
-    curve = broker.equity(broker.portfolio(rows))
-    return broker.fills(rows, curve, spec.fee_bps).withColumn("run_id", F.lit(run.id)), curve.withColumn("run_id", F.lit(run.id))
+    """(fills, equity curve) of one run, with run_id.  Rows' own fee_bps counts where the panel has it."""
+    panel = total_return(with_adj_close(panel)) if spec.total_return else panel
+    rows = broker.desired(panel, STRATEGIES[run.strategy](panel, **run.params), spec.allow_short)
+    drifts = spec.drift if run.drift is None else run.drift
+    fee = F.col("fee_bps") if "fee_bps" in panel.columns else spec.fee_bps
+    banded = any(spec.band_rule.values())
+    rows = broker.drifting(rows, spec.fee_bps, **spec.band_rule) if drifts else broker.banded(rows, **spec.band_rule) if banded else broker.constant_mix(rows)
+    rows = broker.with_returns(rows, fee)
+    curve = broker.equity(broker.portfolio(rows), spec.initial_equity)
+    return broker.fills(rows, curve, fee).withColumn("run_id", F.lit(run.id)), curve.withColumn("run_id", F.lit(run.id))
 
 
 def run_spec(panel: DataFrame, spec: Spec) -> DataFrame:
@@ -204,6 +221,14 @@ def bars_answer(store: Store, instrument_id: str, timeframe: str, start: datetim
     return {"instrument_id": instrument_id, "timeframe": to or timeframe, "truncated": len(got) > limit, "bars": [r.asDict() for r in got[:limit]]}
 
 
+def chart_answer(store: Store, instrument_id: str, timeframe: str, start: datetime, end: datetime, most: int = 20_000, zone: str = "UTC") -> dict:
+    """Bars for a chart: above ``most`` of them, of the finest timeframe that has no more."""
+    n = store.scan(instrument_id, timeframe, start, end).count()
+    target = downsample_target(timeframe, n, most)
+    answer = bars_answer(store, instrument_id, timeframe, start, end, MOST_ROWS, None if target == timeframe else target, zone)
+    return answer | {"native_bars": n, "note": "" if target == timeframe else f"{timeframe} shown as {target} ({n} bars)"}
+
+
 def coverage_answer(store: Store, instrument_id: str | None = None) -> list[dict]:
     return [{k: v.isoformat() + "Z" if isinstance(v, datetime) else v for k, v in r.asDict().items()} for r in store.coverage(instrument_id).collect()]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Index tickers that the vendor spells with a caret.
@@ -29,3 +29,30 @@ def vendor_ticker(asset_class: Column, venue: Column, symbol: Column) -> Column:
         .when((asset_class == "equity") & big.isin(*INDEX_TICKERS), F.concat(F.lit("^"), big))
         .otherwise(symbol)
     )
+
+
+def inferred_class(query: Column) -> Column:
+    """The asset class that a bare query looks like: a pool's address or chain:address, a currency pair, else an equity."""
+    big = F.upper(F.trim(query))
+    pool = F.trim(query).rlike(r"^(?:[a-zA-Z0-9]+:)?0x[0-9a-fA-F]{40}$")
+    pair = big.rlike(r"^[A-Z0-9]{2,10}[/-]?(?:USDT|USDC|BTC|ETH)$")
+    return F.when(pool, "dex").when(pair, "crypto").otherwise("equity")
+
+
+def resolve(queries: DataFrame, instruments: DataFrame) -> DataFrame:
+    """queries (query) with instrument_id and how it was found: stored (an identifier), alias (one instrument's), parsed (written KIND:venue:symbol),
+    made (an equity by its ticker), ambiguous (several instruments' alias) or null (unknown).
+
+    Case and outer space do not count; the catalogue is joined by key, twice.
+    """
+    key = lambda c: F.lower(F.trim(c))
+    stored = instruments.select(key(F.col("instrument_id")).alias("__q"), F.col("instrument_id").alias("__stored")).dropDuplicates(["__q"])
+    names = instruments.select("instrument_id", F.explode("aliases").alias("a")).select(key(F.col("a")).alias("__q"), "instrument_id").distinct()
+    names = names.groupBy("__q").agg(F.min("instrument_id").alias("__alias"), F.count("*").alias("__n"))
+    rows = queries.withColumn("__q", key(F.col("query"))).join(stored, "__q", "left").join(names, "__q", "left")
+    written = F.col("query").rlike(r"(?i)^\s*(EQ|CRYPTO|DEX):[^:]+:.+$")
+    ticker = (inferred_class(F.col("query")) == "equity") & F.col("query").rlike(r"^\s*[A-Za-z^][A-Za-z0-9.^=-]{0,14}\s*$")
+    made = F.concat(F.lit("EQ:XNAS:"), F.upper(F.trim("query")))
+    how = F.when(F.col("__stored").isNotNull(), "stored").when(F.col("__n") > 1, "ambiguous").when(F.col("__alias").isNotNull(), "alias").when(written, "parsed").when(ticker, "made")
+    found = F.when(how == "stored", F.col("__stored")).when(how == "alias", F.col("__alias")).when(how == "parsed", F.trim("query")).when(how == "made", made)
+    return rows.withColumn("instrument_id", found).withColumn("how", how).drop("__q", "__stored", "__alias", "__n")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marketlab.operators import intervals, joins
 from marketlab.operators.normalize import with_adj_close
-from marketlab.schema import BAR, COVERAGE, missing
+from marketlab.schema import BAR, COVERAGE, INSTRUMENT, SNAPSHOT, missing
 
 BAR_KEY = ["instrument_id", "source", "timeframe", "ts_utc"]
 SERIES = ["instrument_id", "timeframe", "source"]
@@ -53,6 +53,8 @@ class Store:
         self._tables = {
             "bars": (", ".join(f"{f.name} {f.dataType.simpleString()}" for f in BAR) + ", ingest_seq long, ym string", ("timeframe", "ym")),
             "dropped": ("instrument_id string, source string, timeframe string, ym string, dropped_seq long", ()),
+            "snapshots": (SNAPSHOT, ()),
+            "instruments": (", ".join(f"{f.name} {f.dataType.simpleString()}" for f in INSTRUMENT) + ", put_seq long", ()),
             "coverage": (", ".join(f"{f.name} {f.dataType.simpleString()}" for f in COVERAGE) + ", version long", ("version",)),
         }
         for name, (schema, parts) in self._tables.items():
@@ -71,7 +73,9 @@ class Store:
         if lacking:
             raise ValueError(f"bars lack {', '.join(lacking)}")
         out = one_batch(with_adj_close(rows).select(*BAR.fieldNames())).withColumn("ingest_seq", F.lit(self._next())).withColumn("ym", F.date_format("ts_utc", "yyyyMM"))
-        out.repartition("timeframe", "ym").write.mode("append").partitionBy("timeframe", "ym").parquet(f"{self.root}/bars")
+        # a large month is split over tasks and files by its size, a small one is one file; sorted rows let readers skip row groups by name
+        out = out.hint("rebalance", F.col("timeframe"), F.col("ym")).sortWithinPartitions("timeframe", "ym", "instrument_id", "ts_utc")
+        out.write.mode("append").partitionBy("timeframe", "ym").parquet(f"{self.root}/bars")
 
     def bars(self) -> DataFrame:
         """All current rows; the timeframe and month are partitions, so filters on them prune files."""
@@ -88,6 +92,31 @@ class Store:
         names = BAR.fieldNames() if columns is None else ["ts_utc", *(c for c in columns if c in BAR.fieldNames() and c != "ts_utc")]
         return rows.select(*names).orderBy("ts_utc")
 
+    def write_snapshots(self, rows: DataFrame) -> None:
+        """Append polled pairs: the known columns that rows have, the others null."""
+        have = [c.split()[0] for c in SNAPSHOT.split(", ") if c.split()[0] in rows.columns]
+        if not have:
+            raise ValueError("no snapshot column")
+        kinds = dict(c.split() for c in SNAPSHOT.split(", "))
+        rows.select(*(F.col(c).cast(kinds[c]) if c in have else F.lit(None).cast(kinds[c]).alias(c) for c in kinds)).write.mode("append").parquet(f"{self.root}/snapshots")
+
+    def polls(self) -> DataFrame:
+        """The latest poll of each pair and source."""
+        rows = self._read("snapshots").where("chain_id is not null and pair_address is not null and polled_at_utc is not null")
+        return latest_poll(rows.select(F.concat_ws(":", F.lit("DEX"), "chain_id", "pair_address").alias("instrument_id"), "source", F.col("polled_at_utc").alias("polled_at")))
+
+    def put_instruments(self, rows: DataFrame) -> None:
+        """Add instruments or replace those with the same identifier."""
+        rows.select(*INSTRUMENT.fieldNames(), F.lit(self._next()).alias("put_seq")).write.mode("append").parquet(f"{self.root}/instruments")
+
+    def instruments(self) -> DataFrame:
+        return joins.keep_latest(self._read("instruments"), ["instrument_id"], "put_seq").drop("put_seq")
+
+    def truncate(self) -> None:
+        """Empty every table."""
+        for name, (schema, parts) in self._tables.items():
+            self.spark.createDataFrame([], schema).write.mode("overwrite").partitionBy(*parts).parquet(f"{self.root}/{name}")
+
     def coverage(self, instrument_id: str | None = None, timeframe: str | None = None, source: str | None = None) -> DataFrame:
         """The newest version of the coverage table, by series and start."""
         rows = self._read("coverage")

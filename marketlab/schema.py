@@ -17,6 +17,12 @@ COVERAGE = _struct("instrument_id string, timeframe string, source string, start
 INSTRUMENT = _struct(
     "instrument_id string, asset_class string, venue string, symbol string, session_tz string, aliases array<string>, alternatives array<string>, pair_created_at timestamp, base_token string, quote_token string"
 )
+#: Columns of a polled pair.
+SNAPSHOT = (
+    "source string, chain_id string, dex_id string, pair_address string, base_symbol string, quote_symbol string, base_address string, quote_address string, price_usd double, "
+    "price_native double, liquidity_usd double, volume_m5 double, volume_h1 double, volume_h6 double, volume_h24 double, price_change_h24 double, fdv double, market_cap double, "
+    "pair_created_at timestamp, polled_at_utc timestamp, quality string, url string"
+)
 #: Stored timeframes, finest first, with their minutes.
 TIMEFRAMES = {"1m": 1, "5m": 5, "15m": 15, "30m": 30, "1h": 60, "4h": 240, "1d": 1440}
 
