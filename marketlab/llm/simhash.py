@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlab.llm.common import mapped, slices, stored
+from marketlab.llm.common import mapped, mark, release, slices, stored
 
 BITS, BYTES = 3, 8
 SHARED = BYTES - BITS
@@ -238,6 +238,7 @@ def components(edges: DataFrame, single: int = SINGLE) -> DataFrame:
     Each task joins its own edges; then alternating stars over written tables, until ``single`` edges at most are left, which one
     task joins, or until all edges are stars.
     """
+    keep = mark()
     edges = stored(_forest(edges.select("u", "v")), "stars")
     while True:
         if edges.count() <= single:
@@ -250,7 +251,9 @@ def components(edges: DataFrame, single: int = SINGLE) -> DataFrame:
         # after the large star every v is below its u: the small star points u and its neighbours at the smallest
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _with_least(large, low).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        before = mark()
         new = stored(_forest(small), "small")
+        release(keep | (mark() - before))  # what earlier rounds wrote is read no more
         # done when every node has one edge and points at a node that has none
         many = new.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
         inner = new.select("u").join(new.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
