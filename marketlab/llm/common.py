@@ -85,6 +85,14 @@ def release(before: set[str] = frozenset()) -> None:
 atexit.register(release)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df has not."""
+    out = f"__{name}"
+    while out in df.columns:
+        out += "_"
+    return out
+
+
 def split_of(doc_id: Column, modulus: int) -> Column:
     """crc32 of the identifier as text, modulo ``modulus``; a null identifier counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -12,8 +12,8 @@ run, equal values of the item must stand where equal values of the document stan
 question with other numbers, names or units too ("reparameterised"), but not a text that shares a template by chance.
 
 Items of fewer tokens than a window are one window of their own length; items without words match nothing.  Null
-and empty texts match nothing.  Rows with equal doc_id and text give one result.  Other columns are not
-read, or are kept by ``keep_clean``.  The benchmark's windows are broadcast while there are ``SMALL`` of them at most,
+and empty texts match nothing; very long texts are read whole; an empty table gives no rows.  Rows with equal doc_id and text give one result.
+Other columns are not read, or are kept by ``keep_clean`` whatever their names.  The benchmark's windows are broadcast while there are ``SMALL`` of them at most,
 as are keys of documents that may hold an item; beyond, the joins are shuffled.
 """
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlab.llm.common import stored
+from marketlab.llm.common import stored, unused
 
 WINDOW, RUN, SHARE = 8, 6, 0.5
 NEAR = 2 * WINDOW
@@ -171,8 +171,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no item was found."""
     bad = stored(contaminated(docs, benchmark).select("k1", "k2").distinct(), "leaks")
-    names = {"k1": "__k1", "k2": "__k2"}
-    rows = docs.withColumn("__k1", F.xxhash64("doc_id", "text")).withColumn("__k2", F.xxhash64("text", F.lit(7), "doc_id"))
+    names = {k: unused(docs, k) for k in ("k1", "k2")}
+    rows = docs.withColumn(names["k1"], F.xxhash64("doc_id", "text")).withColumn(names["k2"], F.xxhash64("text", F.lit(7), "doc_id"))
     return _joined(rows, bad.withColumnsRenamed(names), list(names.values()), "left_anti").drop(*names.values())
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlab.llm.common import mapped, mark, release, slices, stored
+from marketlab.llm.common import mapped, mark, release, slices, stored, unused
 
 BITS, BYTES = 3, 8
 SHARED = BYTES - BITS
@@ -281,15 +281,16 @@ def op8_simhash(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, words: int = 3, grouped=near_duplicates) -> DataFrame:
-    """The rows of docs, all columns, that stand first in their group: smallest doc_id, then smallest text hash.
+    """The rows of docs, all columns, that stand first in their group: smallest doc_id, then smallest text hash, then smallest hash of all columns.
 
-    Rows equal in both are copies of one row, of which one stays.  ``grouped`` gives the rows' groups as root.
+    Of rows equal in all columns one stays.  ``grouped`` gives the rows' groups as root.
     """
-    hashed = docs.withColumn("__h", F.xxhash64("text"))
-    names = ["doc_id", "__h"]
-    groups = grouped(hashed.select(*names, "text"), words)
+    h, row = unused(docs, "h"), unused(docs, "row")
+    whole = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    hashed = docs.withColumn(h, F.xxhash64("text")).withColumn(row, F.xxhash64(*whole))
+    groups = grouped(hashed.select("doc_id", F.col(h).alias("h"), F.col(row).alias("row"), "text"), words)
     # component_id is null or shared where doc_ids are; groups have few columns, and only the chosen keys, one for each group, go to the rows
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *names)).alias("first"))
-    first = stored(first.select("first.doc_id", "first.__h").withColumnsRenamed({"doc_id": "__id", "__h": "__key"}), "first")
-    kept = hashed.join(first, hashed["doc_id"].eqNullSafe(first["__id"]) & (hashed["__h"].eqNullSafe(first["__key"])), "left_semi")
-    return kept.dropDuplicates(names).drop("__h")
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "row")).alias("first"))
+    first = stored(first.select(F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h"), F.col("first.row").alias("first_row")), "first")
+    kept = hashed.join(first, hashed["doc_id"].eqNullSafe(first["first_id"]) & (hashed[h] == first["first_h"]) & (hashed[row] == first["first_row"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", h, row]).drop(h, row)

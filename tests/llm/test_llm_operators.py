@@ -164,13 +164,16 @@ def test_components_match_brute_force(spark, monkeypatch, long):
     assert Counter(map(frozenset, by.values())) == want
 
 
-def test_chain_components(spark):
+@pytest.mark.parametrize("single", [0, 250_000])
+def test_chain_components(spark, single):
+    """A chain, a hub and a pair, by rounds of stars and by one task."""
     rule = random.Random(1)
-    nodes = list(range(300))
+    nodes = list(range(60))
     rule.shuffle(nodes)
-    frame = spark.createDataFrame(list(zip(nodes, nodes[1:], strict=False)), "u long, v long").repartition(8)
-    got = {r.node: r.root for r in simhash.components(frame).collect()}
-    assert got == dict.fromkeys(range(300), 0)
+    pairs = [*zip(nodes, nodes[1:], strict=False), *((100, 101 + i) for i in range(80)), (300, 299)]
+    frame = spark.createDataFrame(pairs, "u long, v long").repartition(8)
+    got = {r.node: r.root for r in simhash.components(frame, single).collect()}
+    assert got == dict.fromkeys(range(60), 0) | dict.fromkeys(range(100, 181), 100) | {299: 299, 300: 299}
 
 
 def test_one_of_each(spark):
@@ -721,6 +724,85 @@ def test_pipeline(spark, tmp_path):
         assert zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and further columns go through every stage; nothing is lost but copies; empty tables give no rows."""
+    import corpus_pipeline
+
+    columns = f"{DOCS}, root long, node string, bands int, batch string, words long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 0.5, 1, "k", 2, "n", 3, "b", 4) for i, t in EDGE], columns)
+    for name, rows in (("some", docs), ("none", docs.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    # of doc 2 and its copy one stays; null, empty and blank texts have no words and are one group
+    assert {r.doc_id for r in got} == {1, 2, 3, 6, 7, None, *range(10, 22)}
+    assert sum(1 for r in got if r.doc_id == 2) == 1 and sum(r.length for r in got if r.doc_id == 6) > 20_000
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, f"{tmp_path}/some")
+        assert out.columns == docs.columns and out.count() > 10, name
+
+
+def test_quality_by_definition(spark):
+    """Statistics, moments and scores of the query against plain sums over the labelled rows."""
+    rule = random.Random(8)
+    texts = [" ".join(rule.choice(["good words", "Some more.", "x|y", "1 2", "é"]) for _ in range(rule.randint(0, 30))) for _ in range(60)] + [None, "", " \n", "word " * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = [(i, int(i % 3 == 0)) for i in range(50)] + [(7, 1), (7, 1), (9, None)]
+    labels = spark.createDataFrame(known, "doc_id long, quality int")
+
+    def stats(text):
+        raw = (text or "").encode()
+        words = raw.split()
+        if not words:
+            return [0.0] * 14 + [1.0]
+        n, size = len(words), len(raw)
+        share = lambda keep: sum(map(keep, raw)) / size
+        upper, lower = sum(65 <= c <= 90 for c in raw), sum(97 <= c <= 122 for c in raw)
+        lengths = [len(w) for w in words]
+        mean = sum(lengths) / n
+        marks = set(range(33, 127)) - set(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,'|")
+        control = set(range(33)) - set(b" \t\n\r\x0b\x0c") | {127}
+        root = np.sqrt
+        return [
+            np.log(n + 1), np.log(mean), np.log(1 + root(sum((x - mean) ** 2 for x in lengths) / n)), root(upper / max(1, upper + lower)), root(share(lambda c: 48 <= c <= 57)), root(share(lambda c: c in marks or c in control)),
+            root(share(lambda c: c in b".,'")), root(share(lambda c: c == 124)), np.log(len(set(words)) / n) / np.log(n + 1), root(sum(a == b for a, b in zip(words, words[1:], strict=False)) / n), root((max(Counter(words).values()) - 1) / n),
+            root(share(lambda c: c == 10)), root(sum(w[-1] in marks | {124} for w in words) / n), root(share(lambda c: c >= 128)), 0.0,
+        ]
+
+    x = np.array([stats(t) for t in texts])
+    assert np.array([quality.statistics((t or "").encode()) for t in texts]) == pytest.approx(x)
+    held = np.array([zlib.crc32(str(i).encode()) % 3 == 1 for i in range(len(texts))])
+    y = {i: v for i, v in known if v is not None and i != 7} | {7: 1}  # two labels of three
+    rows = [[i for i in y if y[i] == k and not held[i]] for k in (0, 1)]
+    mean = [x[r].mean(0) for r in rows]
+    cov = [np.cov(x[r].T, bias=True) for r in rows]
+    n = np.array([len(r) for r in rows])
+    pooled = (cov[0] * n[0] + cov[1] * n[1]) / n.sum()
+    used = [0.88 * c + 0.1 * pooled + 0.02 * np.diag(np.diag(pooled) + 1e-6) for c in cov]
+    log = [-0.5 * np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m) - 0.5 * np.linalg.slogdet(c)[1] for m, c in zip(mean, used, strict=True)]
+    want = 1 / (1 + np.exp(-np.clip(log[1] - log[0] + np.log(n[1] / n[0]), -500, 500)))
+    got = {r.doc_id: r for r in quality.op10_quality(docs, labels).collect()}
+    assert [got[i].score for i in range(len(texts))] == pytest.approx(want.tolist(), abs=1e-6)
+    assert [got[i].held_out for i in range(len(texts))] == held.tolist() and all(r.predicted == (r.score >= 0.5) for r in got.values())
+    kept = {r.doc_id for r in quality.keep_good(docs, labels).collect()}
+    assert kept == {i for i, r in got.items() if r.score >= 0.5}
+
+
+def test_quality_on_held_out_rows():
+    """Fitted to the labelled rows outside the third split, the discriminant is right on nearly all of the others."""
+    base = "/root/testdata/sf0.01"
+    if not os.path.isdir(base):
+        pytest.skip("no test tables")
+    rows = pd.read_parquet(f"{base}/labels.parquet").dropna(subset=["quality"]).merge(pd.read_parquet(f"{base}/documents.parquet"), on="doc_id")
+    x = np.array([quality.statistics((t or "").encode()) for t in rows.text])
+    y, held = rows.quality.to_numpy().astype(int), np.array([zlib.crc32(str(i).encode()) % 3 == 1 for i in rows.doc_id])
+    parts = [x[(y == k) & ~held] for k in (0, 1)]
+    made = quality.Discriminant(np.array([len(p) for p in parts]), np.array([p.sum(0) for p in parts]), np.array([p.T @ p for p in parts]))
+    assert ((made.score(x[held]) >= 0.5) == y[held]).mean() >= 0.97
+
+
 def test_repeated_rows_and_ties(spark):
     docs = spark.createDataFrame([(1, "same words here in a row")] * 3 + [(2, "same words here in a row")], "doc_id long, text string")
     got = simhash.op8_simhash(docs).collect()
