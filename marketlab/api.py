@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import importlib.util
 import json
+import os
 import re
 import sys
 from collections.abc import Callable
@@ -15,7 +17,7 @@ from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlab.errors import MarketError, NotCovered, ZoneError
+from marketlab.errors import BadSpec, MarketError, NotCovered, ZoneError
 from marketlab.operators import broker, metrics, strategies, trend
 from marketlab.operators.normalize import total_return, with_adj_close
 from marketlab.operators.resample import resample
@@ -89,6 +91,17 @@ def register(name: str):
     return put
 
 
+def load_plugin(where: str) -> None:
+    """Import a module by name, or a .py file by path, whose import registers strategies."""
+    if not where.endswith(".py"):
+        importlib.import_module(where)
+        return
+    spec = importlib.util.spec_from_file_location(os.path.basename(where)[:-3], where)
+    if spec is None or not os.path.isfile(where):
+        raise BadSpec(f"no plugin file {where}")
+    spec.loader.exec_module(importlib.util.module_from_spec(spec))
+
+
 def instant(text: str, zone: str = "UTC", end: bool = False) -> datetime:
     """UTC time of a date or ISO time (naive: in the zone); as an end, a bare date means the midnight after it."""
     try:
@@ -135,7 +148,7 @@ class Spec:
     @staticmethod
     def parse(raw: dict) -> Spec:
         numbers, flags = ("fee_bps", "band", "band_floor", "band_frac", "initial_equity"), ("half_move", "allow_short", "drift", "total_return")
-        extra = set(raw) - {"name", "timeframe", "from", "to", "universe", "runs", *numbers, *flags}
+        extra = set(raw) - {"name", "timeframe", "from", "to", "universe", "runs", "plugins", *numbers, *flags}
         if extra:
             raise UserError(f"unknown keys: {', '.join(sorted(extra))}")
         lacking = {"name", "timeframe", "from", "to", "universe", "runs"} - set(raw)
@@ -143,6 +156,8 @@ class Spec:
             raise UserError(f"missing keys: {', '.join(sorted(lacking))}")
         if raw["timeframe"] not in TIMEFRAMES:
             raise UserError(f"unknown timeframe {raw['timeframe']!r}")
+        for where in raw.get("plugins", ()):
+            load_plugin(where)
         runs = tuple(Run(**r) for r in raw["runs"])
         unknown = [r.strategy for r in runs if r.strategy not in STRATEGIES]
         if unknown or not runs or len({r.id for r in runs}) < len(runs):

@@ -43,3 +43,12 @@ def test_answers_and_runs(spark, root, tmp_path, capsys):
     (tmp_path / "spec.json").write_text(json.dumps(RAW))
     assert api.main(["--store", root, "run", str(tmp_path / "spec.json")]) == 0
     assert set(json.loads(capsys.readouterr().out)) == {"hold", "free"}
+
+
+def test_plugins_and_the_rest_of_a_spec(tmp_path):
+    (tmp_path / "mine.py").write_text("from marketlab import api\n\n\n@api.register('mine')\ndef mine(panel):\n    return panel\n")
+    spec = api.Spec.parse({**RAW, "plugins": [str(tmp_path / "mine.py")], "runs": [{"id": "a", "strategy": "mine"}], "band_frac": 0.1, "half_move": True, "initial_equity": 5})
+    assert spec.band_rule == {"flat": 0.0, "floor": 0.0, "fraction": 0.1, "half": True} and spec.initial_equity == 5.0 and spec.runs[0].drift is None
+    api.STRATEGIES.pop("mine")
+    with pytest.raises(api.UserError):
+        api.Spec.parse({**RAW, "plugins": [str(tmp_path / "none.py")]})

@@ -162,6 +162,36 @@ def test_clustered_trend_is_causal_and_within_limits(spark):
     assert full == pytest.approx(1)
 
 
+def test_diagnostics_explain_the_weights(spark):
+    rng = np.random.default_rng(3)
+    series = {n: list(100 * np.cumprod(1 + rng.normal(m, 0.01, 200))) for n, m in (("UP", 0.003), ("DOWN", -0.002))}
+    p = daily(spark, series, date(2022, 1, 1)).withColumn("ts_utc", F.col("ts_utc") + F.expr("INTERVAL 21 HOUR")).withColumn("volume", F.lit(1e6))
+    rules = trend.Rules(months=(1, 3))
+    told = {(r.instrument_id, r.ts_utc): r for r in trend.diagnostics(p, rules).collect()}
+    weights = {(r.instrument_id, r.ts_utc): r.weight for r in trend.clustered_trend(p, rules).collect()}
+    assert {k: r.weight for k, r in told.items()} == weights
+    held = [r for r in told.values() if r.weight > 0]
+    assert held and all(r.live and r.trend > 0 and r.cluster_id is not None and r.weight <= r.asset_cap + 1e-9 and 0 < r.gross_scale <= 1 and 0 <= r.shrinkage <= 1 for r in held)
+    assert all(r.cluster_id is None for r in told.values() if not r.live)
+
+
+def test_caps_against_filling_in_rounds():
+    """The total is what filling round by round gives, within all caps, and nothing moves that need not."""
+    rng = np.random.default_rng(11)
+    for _ in range(200):
+        n = int(rng.integers(1, 9))
+        w, caps, group = rng.dirichlet(np.ones(n)), rng.uniform(0, 0.6, n), rng.integers(0, 3, n)
+        got = trend.filled_to_caps(w, caps, group, 0.45)
+        sums = np.bincount(group, weights=got, minlength=3)
+        assert (got <= caps + 1e-9).all() and (sums <= 0.45 + 1e-9).all() and got.sum() <= w.sum() + 1e-9
+        most = sum(min(0.45, caps[group == g].sum()) for g in range(3))
+        first = np.minimum(w, caps)
+        shut = [g for g in range(3) if first[group == g].sum() > 0.45]
+        assert got.sum() == pytest.approx(min(w.sum(), most)) or shut
+        if (w <= caps).all() and not shut:
+            assert got == pytest.approx(w)
+
+
 def test_streamed_bars_equal_batch_and_upsert(spark, tmp_path):
     t0 = datetime(2024, 1, 1)
     ticks = spark.createDataFrame([("A", t0 + timedelta(minutes=7 * i), i, float(i % 5)) for i in range(60)], "instrument_id string, ts timestamp, seq long, price double")
