@@ -46,7 +46,7 @@ MAX_TOXIC, MAX_CLEAN = 1500, 3000
 MAX_BYTES = 64_000_000
 LANDMARKS, ROUNDS = 320, 4
 #: Costs of a witness (times the root of its texts), of a witness with a foreign letter and of a clean unit; the tie from which a unit seen in clean texts may be a witness.
-WITNESS, INSERTED, CLEAN, STRONG = 20.0, 24.0, 4.0, 4.0
+WITNESS, INSERTED, CLEAN, STRONG = 5.0, 6.0, 4.0, 4.0
 THRESHOLD = 0.3
 START, STOP = "\x02", "\x03"
 #: Signs read as letters.
