@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlab.operators import broker, calendar, catalog, intervals, joins, metrics, normalize, panel, store, strategies, trend
-from marketlab.plans.queries import _BOOK, _COVER, _HOL, _LOCAL, _MERGED, _book, _cover, DAY, HOUR, KEYS, W, lag, over, query, r6
+from marketlab.plans.queries import _BOOK, _COVER, _HOL, _LOCAL, _MERGED, _book, _cover, DAY, HOUR, KEYS, W, book_sql, lag, over, query, r6
 from marketlab.sources import vendors
 from marketlab.sources.series import PX_DAILY_SQL, PX_SMOOTH_SQL, bars, px_daily, px_smooth
 
@@ -235,7 +235,7 @@ def _holed(s: SparkSession, d: str) -> DataFrame:
 
 
 _HOLED = f"SELECT instrument_id, ts_utc, CASE WHEN day(ts_utc) % 7 <> 3 THEN open END AS open, CASE WHEN day(ts_utc) % 5 <> 2 THEN close END AS close FROM ({PX_SMOOTH_SQL})"
-_CLOSED_BOOK = _BOOK.replace(f"px AS ({PX_SMOOTH_SQL})", f"px AS ({_HOLED})")
+_CLOSED_BOOK = book_sql(px=_HOLED)
 
 
 def _holed_book(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -303,7 +303,7 @@ def _runs(s: SparkSession, d: str) -> DataFrame:
     return curves[0].unionByName(curves[1])
 
 
-_STATIC = _BOOK.replace("1.0 / count(*) OVER (PARTITION BY ts_utc)", "CASE instrument_id WHEN 'click' THEN 0.6 WHEN 'view' THEN 0.3 ELSE 0 END::DOUBLE")
+_STATIC = book_sql(weight="CASE instrument_id WHEN 'click' THEN 0.6 WHEN 'view' THEN 0.3 ELSE 0 END::DOUBLE")
 query(
     "metrics_aligned",
     " UNION ALL ".join(f"SELECT {n!r} AS run_id, ts_utc, round(r, 6) AS r FROM (WITH {book} SELECT *, row_number() OVER (ORDER BY ts_utc) AS n FROM eq) WHERE n > 5" for n, book in (("even", _BOOK), ("static", _STATIC))),

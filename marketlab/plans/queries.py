@@ -484,7 +484,10 @@ query(
     f"WITH b AS ({DAY}) SELECT instrument_id, ts_utc, round(close, 6) AS close FROM b QUALIFY row_number() OVER (PARTITION BY ts_utc ORDER BY close DESC, instrument_id) <= 2",
 )(lambda s, d: bars(s, d, "day").withColumn("k", F.row_number().over(Window.partitionBy("ts_utc").orderBy(F.col("close").desc(), "instrument_id"))).where("k <= 2").select("instrument_id", "ts_utc", "close"))
 
-_BOOK = f"""px AS ({PX_SMOOTH_SQL}), tg AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY ts_utc) AS weight FROM px), ds AS (SELECT *, lag(weight) OVER ({W}) AS desired FROM tg),
+
+def book_sql(px: str = PX_SMOOTH_SQL, weight: str = "1.0 / count(*) OVER (PARTITION BY ts_utc)") -> str:
+    """A constant mix at 10 basis points over prices, from targets (tg) to the equity curve (eq)."""
+    return f"""px AS ({px}), tg AS (SELECT *, {weight} AS weight FROM px), ds AS (SELECT *, lag(weight) OVER ({W}) AS desired FROM tg),
 hw AS (SELECT *, coalesce(last_value(CASE WHEN open IS NOT NULL THEN desired END IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS w, last_value(close IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM ds),
 pv AS (SELECT *, lag(c) OVER ({W}) AS p, coalesce(lag(w) OVER ({W}), 0) AS w0 FROM hw),
 tr AS (SELECT *, open IS NOT NULL AND close IS NOT NULL AS traded FROM pv),
@@ -493,6 +496,9 @@ bk AS (SELECT ts_utc, sum(gp) AS gap, sum(br) AS bar, sum(fe) AS fee, sum(abs(dw
 rr AS (SELECT *, (1 + gap) * (1 + bar - fee) - 1 AS r FROM bk), eq AS (SELECT *, product(1 + r) OVER (ORDER BY ts_utc ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS equity, greatest(0, 1 - gross) AS cash_weight FROM rr)"""
 
 
+_BOOK = book_sql()
+
+
 def _book(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     panel = px_smooth(s, d)
     return broker.run_book(panel, strategies.buy_hold(panel), 10.0)
