@@ -238,11 +238,11 @@ def op7_line_dedup(docs: DataFrame) -> DataFrame:
 
 
 ORACLE = r"""
-WITH ls AS (SELECT doc_id, row_id, pos, line, lower_az(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS key
+WITH ls AS (SELECT doc_id, row_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM (SELECT doc_id, row_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
     FROM (SELECT doc_id, row_number() OVER () AS row_id, string_split(coalesce("text", ''), chr(10)) AS parts FROM documents))),
 bad AS (SELECT key FROM ls WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT row_id) >= 10)
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE key IN (SELECT key FROM bad)) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE key NOT IN (SELECT key FROM bad)), '')) AS kept_sha256
 FROM ls GROUP BY row_id
-""".replace("lower_az(", "translate(").replace("chr(13))) AS key", "chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key")
+"""
