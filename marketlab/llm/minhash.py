@@ -1,11 +1,13 @@
 """Near copies by word shingles: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more are linked.
 
-Candidates share one of ``BANDS`` bands of ``ROWS`` minimum hashes; a pair at 0.8 shares none with probability 3e-5, a more
-similar one with less.  Each candidate's similarity is then computed from the whole sets.  In a bucket every text is first held
-against one leader, another one in each band.  Where these links leave a bucket in several components, each text outside the bucket's
-largest one is held against every text of another component: as pairs in a short bucket, in blocks in a long one, until it is linked.  So pairs within a
-component are not made, and no bucket is cut.  A text of fewer words than a shingle is one shingle; null and empty texts have the empty
-set and are equal.
+Candidates come from op8's operator, the byte-position inverted index over SimHash fingerprints, in its wide form (``simhash.wide_links``),
+whose star components are clusters: lists, bits, the count filter on all bytes, components.  An exact check follows inside each cluster, on the whole sets.  A text is first held against the others of
+its fingerprint, against its nearest neighbour in the index and against its cluster's hub.  Where these links leave a cluster in several
+components, each text outside the cluster's largest one is held against every text of another component: as pairs in a short cluster, in blocks
+in a long one, until it is linked.  So pairs within a component are not made, and no list or cluster is cut.
+
+Of a pair at 0.8 the index finds all but 2 in 100,000 (more similar ones are missed less), and the count filter before the sets are compared drops
+fewer than 1.  A text of fewer words than a shingle is one shingle; null and empty texts have the empty set and are equal.
 """
 
 from __future__ import annotations
@@ -16,16 +18,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlab.llm.common import mapped, mark, release, slices, stored
+from marketlab.llm import simhash
+from marketlab.llm.common import mapped, slices, stored, unused
 from marketlab.llm.simhash import SEED, components
 
 WORDS, LEAST = 5, 0.8
-BANDS, ROWS = 20, 4
-#: Texts of a bucket whose pairs are made rows; longer ones are compared block by block.
+#: Texts of a cluster whose pairs are made rows; longer ones are compared block by block.
 LONG, BLOCK = 64, 512
-_rule = np.random.default_rng(SEED)
-FACTORS = _rule.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ADDENDS = _rule.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+#: Sets up to this size are compared without the count filter.
+TINY = 8
 
 
 def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
@@ -42,34 +43,27 @@ def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([one(line[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], np.uint32))
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """One key for each band, none for the empty set."""
-    if not len(hashes):
-        return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for part in range(0, len(hashes), 1 << 12):
-        least = np.minimum(least, (hashes[part : part + (1 << 12), None].astype(np.uint64) * FACTORS + ADDENDS).min(0))
-    raw = least.astype("<u8").tobytes()
-    size = 8 * ROWS
-    return [xxhash.xxh64_intdigest(raw[size * i : size * (i + 1)], i) for i in range(BANDS)]
+def printed(docs: DataFrame, words: int = WORDS, width: int = 16, whole: bool = False) -> DataFrame:
+    """Columns of docs other than text, node (a hash of the set), size, bits (the wide fingerprint), vertex (its name in the index) and also.
 
-
-def shingled(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Columns of docs other than text, node (a hash of the set), shingles and bands."""
+    ``also`` names the fingerprints that a set of five has without one of its shingles: so short a set differs in too many bits from one at 0.8.
+    With ``whole`` the shingles too.
+    """
     names = [c for c in docs.columns if c != "text"]
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
 
     def run(batches):
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in (part for whole_batch in batches for part in slices(whole_batch)):
             sets = [shingles(t, words) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             raw = [s.astype("<u4").tobytes() for s in sets]
             node = np.array([xxhash.xxh64_intdigest(r, SEED) for r in raw], np.uint64).view(np.int64)
-            keys = [np.array(bands(s), np.uint64).view(np.int64) for s in sets]
-            offsets = pa.array(np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(node), pa.array(raw, pa.binary()), lists], [*names, "node", "shingles", "bands"])
+            bits = np.array([simhash.wide(s, width) for s in sets], np.uint64).reshape(-1, width)
+            also = [simhash.vertices(np.array([simhash.wide(np.delete(s, i), width) for i in range(5)])).view(np.int64).tolist() if len(s) == 5 else [] for s in sets]
+            made = [pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array([b.astype("<u8").tobytes() for b in bits], pa.binary()), pa.array(simhash.vertices(bits).view(np.int64)), pa.array(also, pa.list_(pa.int64()))]
+            more = [pa.array(raw, pa.binary())] if whole else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *made, *more], [*names, "node", "size", "bits", "vertex", "also", *["shingles"][: len(more)]])
 
-    return mapped(docs, run, f"{kinds}node long, shingles binary, bands array<long>")
+    return mapped(docs, run, f"{kinds}node long, size int, bits binary, vertex long, also array<long>{', shingles binary' if whole else ''}")
 
 
 def similar(x: np.ndarray, y: np.ndarray, least: float = LEAST) -> bool:
@@ -80,36 +74,56 @@ def similar(x: np.ndarray, y: np.ndarray, least: float = LEAST) -> bool:
     return both >= least * (few + many - both)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets are similar enough."""
-    named = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
+def _held(pairs: DataFrame, sets: DataFrame, columns: list[str], test) -> DataFrame:
+    """The pairs (u, v, further columns) of which ``test`` holds for the columns of both."""
+    names = pairs.columns
+    named = lambda x: sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
 
     def run(batches):
         for batch in batches:
-            good = [similar(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good, pa.bool_())) for i in (0, 1)], ["u", "v"])
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                good = [test(x) for x in zip(*(part.column(i).to_pylist() for i in range(len(names), part.num_columns)), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(n).filter(pa.array(good, pa.bool_())) for n in names], names)
+
+    both = pairs.join(named("u"), "u").join(named("v"), "v").select(*names, *(f"{c}_{x}" for c in columns for x in "uv"))
+    return mapped(both, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema))
+
+
+def counted(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs (u, v) that share enough bytes of their fingerprints; sizes come first, and only fingerprints are dealt, not sets.
+
+    Members that stand for several (column several) keep all their pairs.
+    """
+
+    def test(x):
+        few, many = sorted(x[2:4])
+        return x[0] or x[1] or few >= LEAST * many and (few <= TINY or bool(simhash.shared(np.frombuffer(x[4], np.uint8), np.frombuffer(x[5], np.uint8))))
+
+    return _held(pairs, members, ["several", "size", "bits"], test)
+
 
-    return mapped(pairs.join(named("u"), "u").join(named("v"), "v").select("u", "v", "su", "sv"), run, "u long, v long")
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets are similar enough."""
+    return _held(pairs, sets, ["shingles"], lambda x: similar(np.frombuffer(x[0], "<u4"), np.frombuffer(x[1], "<u4")))
 
 
 def _block_links(rows: DataFrame, outside: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (u, v) of texts outside a long bucket's largest component, ``BLOCK`` of them and of the bucket's texts at a time.
+    """Links (u, v) of texts outside a long cluster's largest component, ``BLOCK`` of them and of the cluster's texts at a time.
 
-    A task compares two blocks without making their pairs rows: what it has linked already is not compared, and a pair only
-    in the first band that it shares.
+    A task compares two blocks without making their pairs rows: what it has linked already is not compared.
     """
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     at = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    mine = outside.select("band", "key", "node", "root", at("o").alias("i"), every("k").alias("j"), F.lit(True).alias("out"))
-    all_ = rows.select("band", "key", "node", "root", every("o").alias("i"), at("k").alias("j"), F.lit(False).alias("out"))
-    both = mine.unionByName(all_).join(sets.select("node", "shingles", "bands"), "node")
+    mine = outside.select("cluster", "node", "root", at("o").alias("i"), every("k").alias("j"), F.lit(True).alias("out"))
+    all_ = rows.select("cluster", "node", "root", every("o").alias("i"), at("k").alias("j"), F.lit(False).alias("out"))
+    both = mine.unionByName(all_).join(sets.select("node", "shingles", "bits"), "node")
 
     def compare(table: pa.Table) -> pa.Table:
         node, root, out = (table.column(c).to_pylist() for c in ("node", "root", "out"))
-        band = table.column("band")[0].as_py()
-        keys = np.array(table.column("bands").to_pylist(), np.int64)
-        raw = table.column("shingles").to_pylist()
+        sets = [np.frombuffer(x, "<u4") for x in table.column("shingles").to_pylist()]
+        bits = np.array([np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()])
+        size = np.array([len(x) for x in sets])
         up = {r: r for r in root}
 
         def top(r):
@@ -118,52 +132,78 @@ def _block_links(rows: DataFrame, outside: DataFrame, sets: DataFrame) -> DataFr
                 r = up[r]
             return r
 
-        found, theirs = [], [i for i, x in enumerate(out) if not x]
+        found, theirs = [], np.array([i for i, x in enumerate(out) if not x], int)
         for a in (i for i, x in enumerate(out) if x):
-            first = (keys[theirs, :band] == keys[a, :band]).any(1)
-            for b, before in zip(theirs, first, strict=True):
-                if not before and top(root[a]) != top(root[b]) and similar(np.frombuffer(raw[a], "<u4"), np.frombuffer(raw[b], "<u4")):
+            near = simhash.shared(bits[theirs], bits[a]) | (np.minimum(size[theirs], size[a]) <= TINY)
+            near &= np.minimum(size[theirs], size[a]) >= LEAST * np.maximum(size[theirs], size[a])
+            for b in theirs[near].tolist():
+                if top(root[a]) != top(root[b]) and similar(sets[a], sets[b]):
                     found.append((node[a], node[b]))
                     up[top(root[a])] = top(root[b])
         u, v = zip(*found, strict=True) if found else ((), ())
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return both.groupBy("band", "key", "i", "j").applyInArrow(compare, "u long, v long")
+    return both.groupBy("cluster", "i", "j").applyInArrow(compare, "u long, v long")
+
+
+def _named(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with root, the component of their nodes."""
+    return rows.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")) if not links.isEmpty() else rows.withColumn("root", F.col("node"))
 
 
-def _named(posts: DataFrame, links: DataFrame) -> DataFrame:
-    """posts with root, the component of their nodes."""
-    return posts.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")) if not links.isEmpty() else posts.withColumn("root", F.col("node"))
+def _tried(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """The pairs (u, v) that are compared first: with the first of the same fingerprint, the nearest neighbour and the hub."""
+    first = members.groupBy("vertex").agg(F.min("node").alias("node"), F.first("cluster").alias("cluster"))
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"))
+    around = both.groupBy("u").agg(F.min(F.struct("d", "v")).alias("near"), F.count("*").alias("degree")).select(F.col("u").alias("vertex"), "near.v", "degree")
+    first = stored(first.join(around, "vertex", "left"), "vertices")
+    named = lambda x, y: first.select(F.col("vertex").alias(x), F.col("node").alias(y))
+    same = members.select("vertex", "node").join(named("vertex", "other"), "vertex").select("node", "other")
+    nearest = first.where("v is not null").select("node", "v").join(named("v", "other"), "v").select("node", "other")
+    hub = first.groupBy("cluster").agg(F.max(F.struct("degree", "node")).alias("hub")).select("cluster", F.col("hub.node").alias("other"))
+    pairs = same.unionByName(nearest).unionByName(members.select("cluster", "node").join(hub, "cluster").select("node", "other"))
+    return pairs.where("node <> other").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
 
 
 def near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Columns of docs other than text, and root, which names the component."""
-    keep = mark()
-    wide = stored(shingled(docs, words), "shingles")
+    t, n = unused(docs, "t"), docs.count()
+    width = simhash.width(n)
+    texts = docs.withColumn(t, F.xxhash64("text"))
+    rows = stored(printed(texts, words, width), "prints")
     # copies have one set: of each only the first goes on
-    nodes = stored(wide.groupBy("node").agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles")), "nodes")
-    before = mark()
-    rows = stored(wide.drop("shingles", "bands"), "rows")
-    slim = mark() - before
-    posts = nodes.select("node", (F.octet_length("shingles") / 4).cast("int").alias("size"), F.posexplode("bands").alias("band", "key"))
-    counts = posts.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "band").alias("h"), "node")).alias("least"))
-    before = mark()
-    posts = stored(posts.join(counts.where("n > 1").select("band", "key", F.col("least.node").alias("leader")), ["band", "key"]), "buckets")
-    sets = stored(nodes.join(posts.select("node").distinct(), "node", "left_semi"), "sets")
-    release(keep | slim | (mark() - before))  # the texts' own sets are read no more
+    nodes = stored(rows.groupBy("node").agg(F.min(t).alias("t"), *(F.first(c).alias(c) for c in ("size", "bits", "vertex", "also"))), "nodes")
+    found = stored(simhash.wide_links(nodes.where("size > 0"), n), "found")
+    each = nodes.groupBy(F.col("vertex").alias("node")).agg((F.count("*") > 1).alias("several"), F.first("size").alias("size"), F.first("bits").alias("bits"))
+    edges = counted(found.where("not forest").drop("forest"), each).unionByName(found.where("forest").drop("forest"))
+    edges = edges.unionByName(nodes.select(F.col("vertex").alias("u"), F.explode("also").alias("v"), F.lit(simhash.FAR + 1).alias("d")))
+    edges = stored(edges, "edges")
+    slim = rows.drop("size", "bits", "vertex", "also", t)
+    if edges.isEmpty():
+        named = nodes.drop("also").withColumn("cluster", F.col("vertex"))
+    else:
+        clusters = components(edges.select("u", "v")).select(F.col("node").alias("vertex"), F.col("root").alias("cluster"))
+        named = nodes.drop("also").join(clusters, "vertex", "left").withColumn("cluster", F.coalesce("cluster", "vertex"))
+    named = stored(named, "clusters")
+    several = named.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
+    members = stored(named.join(several, "cluster", "left_semi").withColumn("several", F.lit(False)), "members")
+    again = texts.join(members.select(F.col("t").alias(t)).distinct(), t, "left_semi").select("text")
+    sets = printed(again, words, width, True).groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
+    sets = stored(sets, "sets")
     pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-    tried = stored(posts.where("node <> leader").select(*pair("node", "leader")).distinct(), "tried")
-    links = stored(verified(tried, sets), "near")
-    named = stored(_named(posts.select("band", "key", "node", "size"), links), "named")
-    # the largest component of each bucket that has several
-    each = named.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
-    most = each.groupBy("band", "key").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("k"), F.count("*").alias("roots")).where("roots > 1")
-    most = stored(most.select("band", "key", F.col("most.root").alias("main"), "k", (F.col("k") - F.col("most.n")).alias("o")), "several")
-    inside = stored(named.join(most, ["band", "key"]), "inside")
+    tried = stored(_tried(members, edges), "tried")
+    links = stored(verified(stored(counted(tried, members), "counted"), sets), "near")
+    named = stored(_named(members.select("cluster", "node", "size"), links), "named")
+    # the largest component of each cluster that has several
+    each = named.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    most = each.groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("k"), F.count("*").alias("roots")).where("roots > 1")
+    most = stored(most.select("cluster", F.col("most.root").alias("main"), "k", (F.col("k") - F.col("most.n")).alias("o")), "several")
+    inside = stored(named.join(most, "cluster"), "inside")
     outside = inside.where("root <> main")
-    # in a short bucket a text has LONG partners at most
-    short, other = (x.where(F.col("k") <= LONG).select("band", "key", "node", "root", "size") for x in (inside, outside))
-    rest = short.join(other.withColumnsRenamed({"node": "node2", "root": "root2", "size": "size2"}), ["band", "key"]).where((F.col("root") != F.col("root2")) & (F.least("size", "size2") >= F.greatest("size", "size2") * LEAST))
+    # in a short cluster a text has LONG partners at most
+    short, other = (x.where(F.col("k") <= LONG).select("cluster", "node", "root", "size") for x in (inside, outside))
+    rest = short.join(other.withColumnsRenamed({"node": "node2", "root": "root2", "size": "size2"}), "cluster").where((F.col("root") != F.col("root2")) & (F.least("size", "size2") >= F.greatest("size", "size2") * LEAST))
     rest = rest.select(*pair("node", "node2")).distinct().join(tried, ["u", "v"], "left_anti")
+    rest = stored(counted(rest, members), "rest")
     links = links.unionByName(verified(rest, sets)).unionByName(_block_links(inside.where(F.col("k") > LONG), outside.where(F.col("k") > LONG), sets))
-    return _named(rows, stored(links, "all-near"))
+    return _named(slim, stored(links, "all-near"))

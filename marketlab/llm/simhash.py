@@ -12,6 +12,11 @@ longer has 3 free bytes, and its members meet at the values within distance 1 of
 other, which are a bounded number for each.  No list is cut and no link is lost; a list's links are
 given as a spanning forest.  Components come from alternating star contraction over written tables.
 
+The wide form of the index (``wide_links``) is for texts that differ in more bits than an index of 8 bytes can promise: two sets at a
+Jaccard similarity of 0.8 differ in a seventh of their bits.  A fingerprint has 32 groups of 4 bytes (160 from ``MANY`` texts) and is posted under
+every 2 (3) bytes of a group; such a pair agrees nowhere with probability 2e-5 (4e-5).  Within a list two fingerprints are linked that differ in ``FAR`` or fewer of
+128 bits; ``shared`` is the count filter on all their bytes.
+
 Null and empty texts have fingerprint zero and link like any other; documents with equal fingerprints are
 linked; repeated rows are kept; a component's name is its smallest ``doc_id`` (nulls aside; null where all are).  Very long
 texts are fingerprinted whole.  An empty table gives no rows.  Other columns pass through, whatever their names.
@@ -38,6 +43,10 @@ SEED = 42
 SMALL, SINGLE = 1_000_000, 250_000
 #: Parts of a vertex's edges, which are joined by vertex and part.
 SALTS = 16
+#: Wide fingerprints: differing bits of the 128 that a posting carries; bytes of 32 groups that a pair at 0.8 shares (34 expected); lists compared at once.
+FAR, COUNT, SHORT = 40, 14, 512
+#: From so many texts on three bytes are posted, which keeps chance lists short.
+MANY = 1 << 24
 
 
 def fingerprint(text: bytes | None, words: int = 3) -> int:
@@ -193,6 +202,134 @@ def links(fps: DataFrame) -> DataFrame:
     return found if more.isEmpty() else found.unionByName(_meeting_links(more, sets))
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def width(n: int) -> int:
+    """Words of 64 bits in the wide fingerprints of n texts: two groups of 4 bytes each."""
+    return 16 if n < MANY else 80
+
+
+def wide(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A fingerprint of several words: each hash is mixed anew for each word, and a bit is set where over half of the hashes have it."""
+    step = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    count = np.zeros(64 * words, np.int64)
+    for part in range(0, len(hashes), 255):  # so many fit a byte
+        mixed = _mix(hashes[part : part + 255, None].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + step)
+        count += np.add.reduce(np.unpackbits(mixed.astype("<u8").view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * count > len(hashes), bitorder="little").view("<u8")
+
+
+def vertices(bits: np.ndarray) -> np.ndarray:
+    """A name for each wide fingerprint, from the 128 bits that postings carry."""
+    return _mix(bits[:, 0] ^ _mix(bits[:, 1] + np.uint64(SEED)))
+
+
+def shared(x: np.ndarray, y: np.ndarray):
+    """The count filter: whether fingerprints (bytes, one or many of them) share as many positional bytes as near copies do."""
+    return (x == y).sum(-1) >= COUNT * x.shape[-1] // 128
+
+
+def wide_keys(bits: np.ndarray) -> np.ndarray:
+    """Posting keys of each row's fingerprint: the slot (which bytes of which group) and the bytes."""
+    r = 2 if bits.shape[1] == width(0) else 3
+    groups = bits.astype("<u8").view(np.uint8).reshape(len(bits), -1, 4).astype(np.int64)
+    sets = list(combinations(range(4), r))
+    keys = np.zeros((len(bits), groups.shape[1], len(sets)), np.int64)
+    for i, positions in enumerate(sets):
+        for p in positions:
+            keys[:, :, i] = keys[:, :, i] << 8 | groups[:, :, p]
+    keys += (np.arange(groups.shape[1])[:, None] * len(sets) + np.arange(len(sets))) << (8 * r)
+    return keys.reshape(len(bits), -1)
+
+
+def close_pairs(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows i and j of sorted keys that lie close in a list, their differing bits, and whether they are of a forest.
+
+    Short lists give all such pairs; long ones, and those full of close pairs, the pairs of a forest with the same components.
+    """
+    if not len(key):
+        return (np.zeros(0, np.int32),) * 3 + (np.zeros(0, bool),)
+    a, b = a.view(np.uint64), b.view(np.uint64)  # the bits of a signed number are those of its absolute value
+    apart = lambda i, j: np.bitwise_count(a[i] ^ a[j]) + np.bitwise_count(b[i] ^ b[j])
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    ends = np.append(starts[1:], len(key))
+    sizes, out = ends - starts, []
+    which = np.repeat(np.arange(len(starts), dtype=np.int32), sizes)
+    end, long, full = ends[which].astype(np.int32), sizes > SHORT, np.zeros(len(starts), np.int64)
+    d, i = 1, np.flatnonzero(~long[which]).astype(np.int32)
+    while len(i := i[i + d < end[i]]):
+        far = apart(i, i + d)
+        near = far <= FAR
+        out.append((i[near], i[near] + np.int32(d), far[near], np.zeros(near.sum(), bool)))
+        if d <= 4:
+            full += np.bincount(which[i[near]], minlength=len(full))
+        if d == 4:
+            long |= (sizes > 8) & (full > sizes)
+            i = i[~long[which[i]]]
+        d += 1
+    out = [tuple(x[~long[which[o[0]]]] for x in o) for o in out]
+    for start, stop in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
+        left = np.arange(start, stop, dtype=np.int32)
+        while len(left):
+            front, left = [left[0]], left[1:]
+            while front and len(left):
+                x = front.pop()
+                far = apart(x, left)
+                near = far <= FAR
+                out.append((np.full(near.sum(), x, np.int32), left[near], far[near], np.ones(near.sum(), bool)))
+                front += left[near & (far > 0)].tolist()
+                left = left[~near]
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int32),) * 3 + (np.zeros(0, bool),)
+
+
+def wide_links(prints: DataFrame, n: int) -> DataFrame:
+    """Links (u, v), their differing bits d and forest, that connect the wide fingerprints (column bits) which share a list of the index and differ in few bits.
+
+    Without forest, a link stands for itself alone; with it, for all that its list connects, so it may not be dropped.
+    Lists are read in order of their keys, a batch at a time, and a list is held whole only while it is read.
+    """
+    words = width(n)
+
+    def post(batches):
+        for batch in batches:
+            raw = batch.column(0)
+            for part in range(0, len(raw), 256):
+                bits = np.frombuffer(b"".join(raw.slice(part, 256).to_pylist()), "<u8").reshape(-1, words)
+                keys = wide_keys(bits)
+                a, b = (np.repeat(bits[:, i], keys.shape[1]).view(np.int64) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(a), pa.array(b)], ["key", "a", "b"])
+
+    def made(key, a, b):
+        i, j, d, forest = close_pairs(key, a, b)
+        name = vertices(np.stack([a, b], 1).view(np.uint64)).view(np.int64)
+        u, v = np.minimum(name[i], name[j]), np.maximum(name[i], name[j])
+        new = u != v
+        return pa.RecordBatch.from_arrays([pa.array(u[new]), pa.array(v[new]), pa.array(d[new].astype(np.int32)), pa.array(forest[new])], ["u", "v", "d", "forest"])
+
+    def run(batches):
+        held: list = []
+        for batch in batches:
+            new = [batch.column(i).to_numpy() for i in range(3)]
+            if not len(new[0]):
+                continue
+            cut = int(np.searchsorted(new[0], new[0][-1]))
+            if not cut and held and held[-1][0][-1] == new[0][0]:
+                held.append(new)  # a long list goes on
+                continue
+            held.append([x[:cut] for x in new])
+            yield made(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held = [[x[cut:] for x in new]]
+        if held:
+            yield made(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    lists = mapped(prints.select("bits"), post, "key long, a long, b long").repartition("key").sortWithinPartitions("key")
+    return mapped(lists, run, "u long, v long, d int, forest boolean").groupBy("u", "v", "d").agg(F.max("forest").alias("forest"))
+
+
 def _forest(edges: DataFrame) -> DataFrame:
     """The same connections with fewer rows: each task joins its own edges and points vertices at the smallest."""
 

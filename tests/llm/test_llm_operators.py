@@ -220,6 +220,34 @@ def test_near_duplicate_stage_finds_edited_copies(spark, monkeypatch, long, bloc
     assert got == sorted(set(group))
 
 
+@pytest.mark.parametrize("short", [512, 3])
+def test_near_duplicate_stage_takes_its_candidates_from_the_byte_position_index(spark, monkeypatch, short):
+    """Every pair at 0.8 is linked by op8's index in its wide form, and without the index's links no text finds another."""
+    import corpus_pipeline
+    from marketlab.llm import minhash
+
+    monkeypatch.setattr(simhash, "SHORT", short)
+    rule = random.Random(7)
+    texts = [[f"w{rule.randrange(10**6)}" for _ in range(n)] for n in (8, 9, 12, 40, 200, 900) for _ in range(6)]
+    rows = [*texts, *([*t, "more"] for t in texts), *([*t[: len(t) // 2], "other", *t[len(t) // 2 + 1 :]] for t in texts), *([*texts[30], *(f"y{rule.randrange(10**6)}" for _ in range(k))] for k in range(40))]
+    sets = [minhash.shingles(" ".join(t).encode()) for t in rows]
+    bits = np.array([simhash.wide(s, simhash.width(len(rows))) for s in sets])
+    assert (simhash.wide(sets[0], 16)[0] >> np.uint64(5) & np.uint64(1)) == (2 * sum(int(simhash._mix(np.array([int(h) * 0xD6E8FEB86659FD93 + 0x9E3779B97F4A7C15 & (1 << 64) - 1], np.uint64))[0]) >> 5 & 1 for h in sets[0]) > len(sets[0]))
+    names = simhash.vertices(bits).view(np.int64).tolist()
+    links = simhash.wide_links(spark.createDataFrame([(bytearray(b.tobytes()),) for b in bits], "bits binary"), len(rows))
+    group = {r.node: r.root for r in simhash.components(links).collect()}
+    near = [(a, b) for a, b in combinations(range(len(rows)), 2) if minhash.similar(sets[a], sets[b]) and min(len(sets[a]), len(sets[b])) > 4]
+    assert len(near) > 500 and all(names[a] == names[b] or group.get(names[a], a) == group.get(names[b], b) for a, b in near)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()}
+    assert kept.isdisjoint(range(36, 72)) and set(range(36)) <= kept  # eight words and nine too
+    real = simhash.wide_links
+    monkeypatch.setattr(simhash, "wide_links", lambda prints, n: real(prints, n).limit(0))
+    long = [i for i, t in enumerate(rows) if len(" ".join(t)) > 200]
+    # only those of one fingerprint still meet
+    assert corpus_pipeline.near_duplicate_stage(spark, docs.where("length(text) > 200"), "").count() == len({names[i] for i in long})
+
+
 def filtered_png(samples, kind):
     height, width = samples.shape
     body, prior = b"", [0] * width
