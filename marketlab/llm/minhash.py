@@ -27,6 +27,8 @@ WORDS, LEAST = 5, 0.8
 LONG, BLOCK = 64, 512
 #: Sets up to this size are compared without the count filter.
 TINY = 8
+#: Bits for each text that is to be fetched again, and bits at most (as a power of two: 32 MB).
+SPARSE, MOST_BITS = 32, 28
 
 
 def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
@@ -43,6 +45,33 @@ def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([one(line[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], np.uint32))
 
 
+def marked(keys: DataFrame, n: int) -> np.ndarray:
+    """A bitmap of the leading bits of n hashes (column t): theirs are set, and of other hashes one in ``SPARSE`` at most is found in it, more only past its largest size."""
+    width = min(MOST_BITS, max(6, (SPARSE * n).bit_length()))
+    lead = keys.select(F.shiftrightunsigned("t", 64 - width).alias("lead"))
+    got = lead.groupBy(F.shiftright("lead", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(lead & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << (width - 6), np.uint64)
+    out[got.column("at").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def among(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Which hashes' leading bits are set."""
+    lead = hashes.view(np.uint64) >> np.uint64(65 - (64 * len(bitmap)).bit_length())
+    return (bitmap[lead >> np.uint64(6)] >> (lead & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def chosen(docs: DataFrame, t: str, bitmap: np.ndarray) -> DataFrame:
+    """Texts whose hash (column t) is in the bitmap: they are told apart where they are read, and none is dealt."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                yield part.select(["text"]).filter(pa.array(among(part.column(t).to_numpy(), bitmap)))
+
+    return mapped(docs.select("text", t), run, "text string")
+
+
 def printed(docs: DataFrame, words: int = WORDS, width: int = 16, whole: bool = False) -> DataFrame:
     """Columns of docs other than text, node (a hash of the set), size, bits (the wide fingerprint), vertex (its name in the index) and also.
 
@@ -187,9 +216,9 @@ def near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
     named = stored(named, "clusters")
     several = named.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
     members = stored(named.join(several, "cluster", "left_semi").withColumn("several", F.lit(False)), "members")
-    again = texts.join(members.select(F.col("t").alias(t)).distinct(), t, "left_semi").select("text")
+    again = chosen(texts, t, marked(members, members.count()))
     sets = printed(again, words, width, True).groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
-    sets = stored(sets, "sets")
+    sets = stored(sets.join(members.select("node"), "node", "left_semi"), "sets")
     pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
     tried = stored(_tried(members, edges), "tried")
     links = stored(verified(stored(counted(tried, members), "counted"), sets), "near")

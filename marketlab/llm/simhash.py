@@ -14,7 +14,7 @@ given as a spanning forest.  Components come from alternating star contraction o
 
 The wide form of the index (``wide_links``) is for texts that differ in more bits than an index of 8 bytes can promise: two sets at a
 Jaccard similarity of 0.8 differ in a seventh of their bits.  A fingerprint has 32 groups of 4 bytes (160 from ``MANY`` texts) and is posted under
-every 2 (3) bytes of a group; such a pair agrees nowhere with probability 2e-5 (4e-5).  Within a list two fingerprints are linked that differ in ``FAR`` or fewer of
+every 2 (3) bytes of a group, ``TURN`` groups at a time, so that only their postings are on disk; such a pair agrees nowhere with probability 2e-5 (4e-5).  Within a list two fingerprints are linked that differ in ``FAR`` or fewer of
 128 bits; ``shared`` is the count filter on all their bytes.
 
 Null and empty texts have fingerprint zero and link like any other; documents with equal fingerprints are
@@ -24,7 +24,7 @@ texts are fingerprinted whole.  An empty table gives no rows.  Other columns pas
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlab.llm.common import mapped, mark, release, slices, stored, unused
+from marketlab.llm.common import brief_shuffles, mapped, mark, release, slices, stored, unused
 
 BITS, BYTES = 3, 8
 SHARED = BYTES - BITS
@@ -47,6 +47,8 @@ SALTS = 16
 FAR, COUNT, SHORT = 40, 14, 512
 #: From so many texts on three bytes are posted, which keeps chance lists short.
 MANY = 1 << 24
+#: Groups of a wide fingerprint that are posted at once (48 or 32 postings of a text).
+TURN = 8
 
 
 def fingerprint(text: bytes | None, words: int = 3) -> int:
@@ -233,16 +235,16 @@ def shared(x: np.ndarray, y: np.ndarray):
     return (x == y).sum(-1) >= COUNT * x.shape[-1] // 128
 
 
-def wide_keys(bits: np.ndarray) -> np.ndarray:
-    """Posting keys of each row's fingerprint: the slot (which bytes of which group) and the bytes."""
+def wide_keys(bits: np.ndarray, first: int = 0, many: int | None = None) -> np.ndarray:
+    """Posting keys of each row's fingerprint, of ``many`` groups from ``first``: the slot (which bytes of which group) and the bytes."""
     r = 2 if bits.shape[1] == width(0) else 3
-    groups = bits.astype("<u8").view(np.uint8).reshape(len(bits), -1, 4).astype(np.int64)
+    groups = bits.astype("<u8").view(np.uint8).reshape(len(bits), -1, 4)[:, first : None if many is None else first + many].astype(np.int64)
     sets = list(combinations(range(4), r))
     keys = np.zeros((len(bits), groups.shape[1], len(sets)), np.int64)
     for i, positions in enumerate(sets):
         for p in positions:
             keys[:, :, i] = keys[:, :, i] << 8 | groups[:, :, p]
-    keys += (np.arange(groups.shape[1])[:, None] * len(sets) + np.arange(len(sets))) << (8 * r)
+    keys += (np.arange(first, first + groups.shape[1])[:, None] * len(sets) + np.arange(len(sets))) << (8 * r)
     return keys.reshape(len(bits), -1)
 
 
@@ -290,18 +292,21 @@ def wide_links(prints: DataFrame, n: int) -> DataFrame:
     """Links (u, v), their differing bits d and forest, that connect the wide fingerprints (column bits) which share a list of the index and differ in few bits.
 
     Without forest, a link stands for itself alone; with it, for all that its list connects, so it may not be dropped.
-    Lists are read in order of their keys, a batch at a time, and a list is held whole only while it is read.
+    Lists are read in order of their keys, a batch at a time, and a list is held whole only while it is read.  Groups take turns: the links of a turn are written before the next is posted.
     """
     words = width(n)
 
-    def post(batches):
-        for batch in batches:
-            raw = batch.column(0)
-            for part in range(0, len(raw), 256):
-                bits = np.frombuffer(b"".join(raw.slice(part, 256).to_pylist()), "<u8").reshape(-1, words)
-                keys = wide_keys(bits)
-                a, b = (np.repeat(bits[:, i], keys.shape[1]).view(np.int64) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(a), pa.array(b)], ["key", "a", "b"])
+    def posted(first):
+        def post(batches):
+            for batch in batches:
+                raw = batch.column(0)
+                for part in range(0, len(raw), 256):
+                    bits = np.frombuffer(b"".join(raw.slice(part, 256).to_pylist()), "<u8").reshape(-1, words)
+                    keys = wide_keys(bits, first, TURN)
+                    a, b = (np.repeat(bits[:, i], keys.shape[1]).view(np.int64) for i in (0, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(a), pa.array(b)], ["key", "a", "b"])
+
+        return mapped(prints.select("bits"), post, "key long, a long, b long")
 
     def made(key, a, b):
         i, j, d, forest = close_pairs(key, a, b)
@@ -326,8 +331,13 @@ def wide_links(prints: DataFrame, n: int) -> DataFrame:
         if held:
             yield made(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    lists = mapped(prints.select("bits"), post, "key long, a long, b long").repartition("key").sortWithinPartitions("key")
-    return mapped(lists, run, "u long, v long, d int, forest boolean").groupBy("u", "v", "d").agg(F.max("forest").alias("forest"))
+    once = lambda links: links.groupBy("u", "v", "d").agg(F.max("forest").alias("forest"))
+
+    def turn(first):
+        lists = posted(first).repartition("key").sortWithinPartitions("key")
+        return stored(once(mapped(lists, run, "u long, v long, d int, forest boolean")), "turn")
+
+    return once(reduce(DataFrame.unionByName, [turn(first) for first in range(0, 2 * words, TURN)]))
 
 
 def _forest(edges: DataFrame) -> DataFrame:
@@ -425,9 +435,14 @@ def one_of_each(docs: DataFrame, words: int = 3, grouped=near_duplicates) -> Dat
     h, row = unused(docs, "h"), unused(docs, "row")
     whole = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
     hashed = docs.withColumn(h, F.xxhash64("text")).withColumn(row, F.xxhash64(*whole))
-    groups = grouped(hashed.select("doc_id", F.col(h).alias("h"), F.col(row).alias("row"), "text"), words)
-    # component_id is null or shared where doc_ids are; groups have few columns, and only the chosen keys, one for each group, go to the rows
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "row")).alias("first"))
-    first = stored(first.select(F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h"), F.col("first.row").alias("first_row")), "first")
-    kept = hashed.join(first, hashed["doc_id"].eqNullSafe(first["first_id"]) & (hashed[h] == first["first_h"]) & (hashed[row] == first["first_row"]), "left_semi")
+    before = mark()
+    with brief_shuffles(docs.sparkSession):
+        groups = grouped(hashed.select("doc_id", F.col(h).alias("h"), F.col(row).alias("row"), "text"), words)
+        # component_id is null or shared where doc_ids are; groups have few columns, and only the chosen keys, one for each group, go to the rows
+        first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "row")).alias("first"))
+        first = stored(first.select(F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h"), F.col("first.row").alias("first_row")), "first")
+    release(before | {x for x in mark() if "marketlab-first-" in x})
+    # doc_ids are compared beside the join's keys: so rows, with their texts, are dealt once for the join and the duplicates
+    same = F.coalesce(hashed["doc_id"] == first["first_id"], hashed["doc_id"].isNull() & first["first_id"].isNull())
+    kept = hashed.join(first, (hashed[h] == first["first_h"]) & (hashed[row] == first["first_row"]) & same, "left_semi")
     return kept.dropDuplicates(["doc_id", h, row]).drop(h, row)
