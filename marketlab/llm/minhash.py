@@ -61,28 +61,20 @@ def among(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return (bitmap[lead >> np.uint64(6)] >> (lead & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def chosen(docs: DataFrame, t: str, bitmap: np.ndarray) -> DataFrame:
-    """Texts whose hash (column t) is in the bitmap: they are told apart where they are read, and none is dealt."""
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch):
-                yield part.select(["text"]).filter(pa.array(among(part.column(t).to_numpy(), bitmap)))
-
-    return mapped(docs.select("text", t), run, "text string")
-
-
-def printed(docs: DataFrame, words: int = WORDS, width: int = 16, whole: bool = False) -> DataFrame:
+def printed(docs: DataFrame, words: int = WORDS, width: int = 16, whole: bool = False, bitmap: np.ndarray | None = None) -> DataFrame:
     """Columns of docs other than text, node (a hash of the set), size, bits (the wide fingerprint), vertex (its name in the index) and also.
 
     ``also`` names the fingerprints that a set of five has without one of its shingles: so short a set differs in too many bits from one at 0.8.
-    With ``whole`` the shingles too.
+    With ``whole`` the shingles too.  With a bitmap only texts whose hash (column t) is in it: they are told apart where they are read, and no text is dealt.
     """
-    names = [c for c in docs.columns if c != "text"]
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text")
+    own = {"text"} if bitmap is None else {"text", "t"}
+    names = [c for c in docs.columns if c not in own]
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name not in own)
 
     def run(batches):
         for batch in (part for whole_batch in batches for part in slices(whole_batch)):
+            if bitmap is not None:
+                batch = batch.filter(pa.array(among(batch.column("t").to_numpy(), bitmap)))
             sets = [shingles(t, words) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             raw = [s.astype("<u4").tobytes() for s in sets]
             node = np.array([xxhash.xxh64_intdigest(r, SEED) for r in raw], np.uint64).view(np.int64)
@@ -216,8 +208,8 @@ def near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
     named = stored(named, "clusters")
     several = named.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
     members = stored(named.join(several, "cluster", "left_semi").withColumn("several", F.lit(False)), "members")
-    again = chosen(texts, t, marked(members, members.count()))
-    sets = printed(again, words, width, True).groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
+    again = texts.select("text", F.col(t).alias("t"))
+    sets = printed(again, words, width, True, marked(members, members.count())).groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
     sets = stored(sets.join(members.select("node"), "node", "left_semi"), "sets")
     pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
     tried = stored(_tried(members, edges), "tried")
