@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Bytes of a batch of rows on its way to Python (one row at least); Spark's default is 64 MB, or 10,000 rows.
+BATCH = 4 << 20
+
 _written: dict[str, SparkSession] = {}
 
 
@@ -31,6 +36,19 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of ``BATCH`` bytes at most from now on, unless the session asks for smaller ones: a batch is held several times over, in the executor and in its worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, str(min(BATCH, int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))))))
+
+
+def give_back() -> None:
+    """Return what this process has freed to the system: Arrow's pool and the C library keep it otherwise, and workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``; a temporary one only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -113,7 +131,13 @@ def split_of(doc_id: Column, modulus: int) -> Column:
 
 def mapped(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     importable(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    small_batches(df.sparkSession)
+
+    def run(batches):
+        yield from function(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def slices(batch, column: str = "text", most: int = 4_000_000):

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,8 @@ from marketlab.llm.common import mapped, slices, stored
 CAPACITY = 2048
 #: Rows of one length that are ranked together, and into how many groups all rows are dealt at most beside one for each length.
 TOGETHER, GROUPS = 2_000, 100_000
-KNOWN = 600_000
+#: Words whose ids a worker keeps at hand (about 140 bytes each, for as long as it lives); the others are encoded each time.
+KNOWN = 100_000
 #: Enumeration: partners tried for each first length, and the most tokens a pattern may leave empty.
 PARTNERS, SLACK = 12, 24
 
@@ -42,16 +44,22 @@ class Encoder:
     def __init__(self, name: str = "byte_bpe_50k"):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        self.path = public_tokenizers.path(f"{name}.json")
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         # the same vocabulary and merges, without the other library's cost for each call
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        del self.library  # 26 MB; only texts with a special string need it, and read it again
         self.known: dict[str, bytes | None] = {}
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def whole(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

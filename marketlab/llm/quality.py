@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlab.llm.common import importable, mapped, slices, split_of, stored
+from marketlab.llm.common import importable, mapped, slices, small_batches, split_of, stored
 
 NAMES = ("words", "word_size", "word_spread", "capitals", "digits", "symbols", "stops", "pipes", "distinct", "again", "top", "breaks", "marked", "high", "empty")
 COLUMNS = [f"s_{x}" for x in NAMES]
@@ -158,6 +158,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, column: st
     rows = training(docs).join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi") if small else training(docs)
     model = fit(with_statistics(rows), F.broadcast(known) if small else known)
     importable(docs.sparkSession)
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(texts: pa.Array) -> pa.Array:

@@ -10,8 +10,10 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from marketlab.llm import chat, decontaminate, line_dedup, media, packing, quality, simhash, suffix_tree, token_counts, toxicity
+from marketlab.llm.common import mapped
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long, key string"
@@ -392,6 +394,32 @@ def test_ids_equal_the_library():
         assert np.frombuffer(made.encode(text), "<u4").tolist() == made.library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_encoder_keeps_little():
+    made = packing.Encoder()
+    assert "library" not in vars(made) and packing.KNOWN <= 100_000
+    text = "of <|endoftext|> and of"
+    assert np.frombuffer(made.encode(text), "<u4").tolist() == made.library.encode(text, add_special_tokens=False).ids
+
+
+def test_words_beyond_those_at_hand_are_encoded_alike(monkeypatch):
+    texts = ["one two three four", "four three two one", "five one  two", "six four\n five six"]
+    whole = [packing.Encoder().encode(t) for t in texts]
+    monkeypatch.setattr(packing, "KNOWN", 1)
+    made = packing.Encoder()
+    assert [made.encode(t) for t in texts] == whole and len(made.known) == 1
+
+
+def test_batches_to_python_are_bounded_in_bytes(spark):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    docs = spark.range(0, 24, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    got = [r.n for r in mapped(docs, run, "n long").collect()]
+    assert sum(got) == 24 and max(got) <= 5
+    assert [r.n for r in mapped(docs.where("false"), run, "n long").collect()] == []
+
+
 def test_plan_uses_every_piece_and_few_sequences():
     rule = np.random.default_rng(1)
     for sizes in (rule.integers(1, 2049, 5000), np.minimum(2048, rule.lognormal(6, 1, 8000).astype(int) + 1), np.full(7, 3), np.array([2048, 2048]), np.array([], int)):
