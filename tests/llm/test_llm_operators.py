@@ -409,6 +409,27 @@ def test_words_beyond_those_at_hand_are_encoded_alike(monkeypatch):
     assert [made.encode(t) for t in texts] == whole and len(made.known) == 1
 
 
+def test_a_text_of_new_words_takes_one_call():
+    """Words cost no call each, and texts are cut only where a run of white space ends."""
+    made, calls = packing.Encoder(), []
+    fast = made.fast.encode_ordinary
+    made.fast.encode_ordinary = lambda text: calls.append(text) or fast(text)
+    for text, parts in ((" ".join(f"new{i}word" for i in range(500)), 1), ("one two three four, and so on\n\n  five six \t seven, eight \n", 3)):
+        calls.clear()
+        assert np.frombuffer(made.encode(text), "<u4").tolist() == made.library.encode(text, add_special_tokens=False).ids
+        assert len(calls) == parts and "".join(calls) == text
+
+
+def test_ids_equal_the_library_at_all_white_space():
+    """Runs of every kind of white space, and of characters that only look like it, between, before and after words."""
+    made, rule = packing.Encoder(), random.Random(11)
+    white = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    others = ["a", "é", "12", ".", "'s", "The", "\u180e", "\u200b", "\u2060", "\ufeff", "\0"]
+    for _ in range(4000):
+        text = "".join(rule.choice(white) * rule.randint(0, 3) + rule.choice([*others, " ", "\n"]) for _ in range(rule.randint(0, 24)))
+        assert np.frombuffer(made.encode(text), "<u4").tolist() == made.library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_batches_to_python_are_bounded_in_bytes(spark):
     def run(batches):
         for batch in batches:
